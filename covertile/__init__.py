@@ -27,3 +27,23 @@ from .operators.tuples import (
     swap,
     tway_tuples,
 )
+from .operators.tuple_coloring import color_tuples
+from .plans.trials import (
+    best_of_trials,
+    coloring_trials,
+    cover_trials,
+    sweep,
+    synthetic_sweep,
+    trial_sizes,
+)
+from .sources import (
+    dimacs_vertices,
+    parse_dimacs,
+    parse_graphviz,
+    parse_hyperedges,
+    read_dimacs,
+    read_graphviz,
+    read_hyperedges,
+    write_hyperedges,
+    write_results,
+)
