@@ -100,7 +100,9 @@ def greedy_set_cover(
             base, seen = ws.measured(left, f"pairs{number}")
             left, stored, to_cover = base, seen["rows"], uncovered_now
     if not rounds:
-        raise ValueError("there are no pairs to cover")
+        return base.select(
+            *by, F.lit(0).alias("step"), "set_id", F.lit(0).cast("bigint").alias("gain")
+        )
     picks = (
         ws.half(best.schema, rounds, "won", True)
         .groupBy(*by, "round", "tie", "set_id")
@@ -145,7 +147,7 @@ def _batch_winners(left, by, by_set, batch) -> DataFrame:
     # One row per independent problem, so small by the choice of the caller.
     floor = gains.groupBy(*by, "_all").agg((F.max("gain") * F.lit(keep)).alias("floor"))
     able = gains.join(F.broadcast(floor), [*by, "_all"]).where(F.col("gain") >= F.col("floor"))
-    order = F.struct(F.xxhash64("set_id").alias("h"), "set_id", "tie", "floor")
+    order = F.struct(F.xxhash64("set_id", "tie").alias("h"), "set_id", "tie", "floor")
 
     def first_of(pairs: DataFrame, wanted: Column) -> DataFrame:
         return (
