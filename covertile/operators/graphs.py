@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_priority
+from ..plans.workspace import Workspace
 
 # Rows of one value taken together by one side of a conflict cell.
 CELL = 4096
@@ -25,6 +26,9 @@ def conflict_graph(tuples: DataFrame, by: list[str] = ()) -> DataFrame:
     To colour the graph without writing its edges, use ``color_tuples``.
     """
     by = list(by)
+    # The tuples are used several times below; their source is read once.
+    ws = Workspace(tuples.sparkSession, "conflicts")
+    tuples = ws.write(tuples.select(*by, "tuple_id", "items"), "tuples")
     # The earlier items, and their variables, decide whether an earlier variable conflicts.
     flat = tuples.select(
         *by, "tuple_id", "items", F.posexplode("items").alias("at", "item")
