@@ -64,10 +64,8 @@ def greedy_set_cover(
         raise ValueError(f"batch must lie between 0 and 1, got {batch}")
     by = list(by)
     ws = Workspace(pairs.sparkSession, "cover")
-    rules = _tie(ties, seed, by)
-    base, seen = ws.measured(
-        pairs.select(*by, "set_id", "elem_id").distinct().withColumn("tie", rules), "pairs"
-    )
+    rule = _tie(ties, seed, by)
+    base, seen = ws.measured(pairs.select(*by, "set_id", "elem_id").distinct(), "pairs")
     by_set = Lanes(ws, "set", base, [*by, "set_id"], "elem_id", hot_rows, seen["rows"])
     by_elem = Lanes(ws, "elem", base, [*by, "elem_id"], "set_id", hot_rows, seen["rows"])
     if by_set.count or by_elem.count:
@@ -82,7 +80,7 @@ def greedy_set_cover(
         rounds.append(f"best{number}")
         # One row per uncovered element: the set it goes to, and whether that set is picked now.
         best, seen = ws.measured(
-            choose(left, by, by_set, batch).withColumn("round", F.lit(number)),
+            choose(left, by, by_set, rule, batch).withColumn("round", F.lit(number)),
             rounds[-1],
             split="won",
             won=F.count_if("won"),
@@ -116,12 +114,21 @@ def greedy_set_cover(
     )
 
 
-def _local_winners(left, by, by_set, batch) -> DataFrame:
+def _gains(left: DataFrame, key: list[str], rule: Column) -> DataFrame:
+    """The uncovered elements of every set, and its place among equals.
+
+    The tie is worked out here, per set, and not kept with the pairs: so the scan and exchange of
+    the pairs are the same as those of the join that follows, and Spark makes them once.
+    """
+    counts = left.groupBy(*key).agg(F.count(F.lit(1)).alias("gain"))
+    return counts.withColumn("tie", rule)
+
+
+def _local_winners(left, by, by_set, rule, batch) -> DataFrame:
     """Per uncovered element its best set; ``won`` if that set beats all its rivals."""
     key = [*by, "set_id"]
-    gains = left.groupBy(*key).agg(F.count(F.lit(1)).alias("gain"))
     best = (
-        left.join(by_set.copy(gains), by_set.on)
+        left.join(by_set.copy(_gains(left, key, rule)), by_set.on)
         .groupBy(*by, "elem_id")
         .agg(F.min(F.struct((-F.col("gain")).alias("less"), "tie", "set_id")).alias("top"))
         .select(*by, "elem_id", "top.less", "top.tie", "top.set_id")
@@ -138,12 +145,12 @@ def _local_winners(left, by, by_set, batch) -> DataFrame:
     )
 
 
-def _batch_winners(left, by, by_set, batch) -> DataFrame:
+def _batch_winners(left, by, by_set, rule, batch) -> DataFrame:
     """Per uncovered element the first picked set that has it; ``won`` if there is one."""
     key = [*by, "set_id"]
     keep = 1.0 - batch
     one = F.lit(0).alias("_all")
-    gains = left.groupBy(*key).agg(F.count(F.lit(1)).alias("gain")).select("*", one)
+    gains = _gains(left, key, rule).select("*", one)
     # One row per independent problem, so small by the choice of the caller.
     floor = gains.groupBy(*by, "_all").agg((F.max("gain") * F.lit(keep)).alias("floor"))
     able = gains.join(F.broadcast(floor), [*by, "_all"]).where(F.col("gain") >= F.col("floor"))
@@ -160,9 +167,13 @@ def _batch_winners(left, by, by_set, batch) -> DataFrame:
     accepted = (
         first_of(rivals, F.lit(True))
         .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"), F.first("floor").alias("floor"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.first("floor").alias("floor"),
+            F.first("tie").alias("tie"),
+        )
         .where(F.col("n") >= F.col("floor") * F.lit(keep))
-        .select(*key, "floor")
+        .select(*key, "floor", "tie")
     )
     taken = left.join(by_set.copy(accepted), by_set.on, "left")
     return first_of(taken, F.col("floor").isNotNull()).select(

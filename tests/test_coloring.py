@@ -13,9 +13,6 @@ LAYOUTS = [
     {},
     {"join": "broadcast"},
     {"layout": "adjacency"},
-    {"layout": "adjacency", "neighbours": 2},
-    {"hot_rows": 2},
-    {"compact_rows": 1, "bucket_rows": 1},
     {"compact_rows": 1, "bucket_rows": 1, "hot_rows": 2},
     {"layout": "adjacency", "neighbours": 2, "compact_rows": 1, "bucket_rows": 1},
 ]
@@ -64,7 +61,9 @@ def test_physical_choices_do_not_change_greedy(spark, options):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("covertile")]
 
 
-@pytest.mark.parametrize("options", LAYOUTS[4:6], ids=str)
+@pytest.mark.parametrize(
+    "options", [{"hot_rows": 2}, {"compact_rows": 1, "bucket_rows": 1}], ids=str
+)
 def test_rounds_equal_longest_path(spark, options):
     priority, edges = random_graph(2)
     v, e = frames(spark, priority, edges)
