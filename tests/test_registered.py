@@ -36,7 +36,9 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert registered.queries().keys() == registered.oracle_sql().keys()
+    """The corpus queries may do without, and are tested against plain versions then."""
+    named = registered.oracle_sql().keys()
+    assert registered.QUERIES.keys() <= named <= registered.queries().keys()
 
 
 @pytest.mark.parametrize("name", QUICK)
