@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, token_files
+from . import decontaminate, simhash, token_files
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -32,9 +32,37 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a test item it contains."""
+    documents, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = decontaminate.contamination(documents.select("doc_id", "text"), items)
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
+    "op6_decontaminate": op6_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+#: Words of decontaminate.folded_words and the distinct five-word shingles of a table's texts.
+_SHINGLES = r"""
+{name}_words AS (
+  SELECT {id} AS id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+') AS w
+  FROM {table}),
+{name}_shingles AS (
+  SELECT DISTINCT id, w[i : i + 4] AS s
+  FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM {name}_words WHERE len(w) >= 5))
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_decontaminate": f"""
+WITH {_SHINGLES.format(name="doc", id="doc_id", table="documents")},
+{_SHINGLES.format(name="item", id="item_id", table="benchmark")},
+sizes AS (SELECT id, count(*) AS item_shingles FROM item_shingles GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, z.item_shingles
+FROM doc_shingles d JOIN item_shingles i ON d.s = i.s JOIN sizes z ON z.id = i.id
+GROUP BY d.id, i.id, z.item_shingles HAVING 5 * count(*) >= 4 * z.item_shingles""",
+}
