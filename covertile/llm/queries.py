@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash, token_files
+from . import decontaminate, sharding, simhash, token_files
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -39,10 +39,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
     "op6_decontaminate": op6_decontaminate,
+    "op9_sharding": op9_sharding,
 }
 
 #: Words of decontaminate.folded_words and the distinct five-word shingles of a table's texts.
