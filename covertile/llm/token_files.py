@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +45,34 @@ HAS_CHECKSUMS = 0x80
 
 FRAME_IDS = 1 << 16
 LEVEL = 3
-KEPT_WORDS = 250_000
+KEPT_RUNS = 400_000
+SLICE = 500
+LETTER_THEN_MARK = re.compile(rb"(?<=[A-Za-z])[!-&(-/:-@\[-`{-~]")
 END_ID = 1
 
 
+class Kept:
+    """A bounded dictionary in two generations: what a whole generation did not ask for goes."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set[bytes]) -> set[bytes]:
+        """The keys without a value; the others are in ``young`` until the next call."""
+        new = keys.difference(self.young)
+        if len(self.young) + len(new) > self.size:
+            self.old, self.young, new = self.young, {}, keys
+        back = {k: self.old[k] for k in new if k in self.old}
+        self.young.update(back)
+        return new.difference(back)
+
+
 class Encoder:
     """Whole texts to the bytes of their ids, exactly as the tokenizer gives them.
 
     The tokenizer drops white space and never joins text across it, so a text is encoded run by
-    run between ASCII white space, and the ids of runs seen before come from a bounded dictionary.
+    run between ASCII white space, and runs met before come from a bounded dictionary. Two steps
+    make runs repeat without changing ids (see :meth:`runs_of`).
     """
 
     def __init__(self, path: str):
@@ -61,27 +82,42 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.end = np.array([END_ID], self.dtype).tobytes()
-        self.known: dict[bytes, bytes] = {}
+        self.known = Kept(KEPT_RUNS)
+
+    @staticmethod
+    def runs_of(text: str | None) -> list[bytes]:
+        """Runs whose ids, one after the other, are those of the text.
+
+        The tokenizer composes (NFC) and lower-cases, so A-Z may be lower-cased first, if there is
+        nothing to compose before and after. Punctuation after a letter starts a piece of its own
+        (an apostrophe may not), so a run may be cut there. Texts that hold special tokens are
+        left alone.
+        """
+        if not text:
+            return []
+        raw = text.encode("utf-8")
+        if b"<|" in raw:
+            return raw.split()
+        low = raw.lower()
+        if text.isascii() or (is_normalized("NFC", text) and is_normalized("NFC", low.decode("utf-8"))):
+            raw = low
+        return LETTER_THEN_MARK.sub(rb" \g<0>", raw).split()
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        parts = [t.encode("utf-8").split() if t else [] for t in texts]
-        distinct = set().union(*parts)
-        new = distinct.difference(self.known)
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known.clear()
-            new = distinct
+        parts = list(map(self.runs_of, texts))
+        new = list(self.known.missing(set().union(*parts)))
+        known = self.known.young
         if new:
-            new = list(new)
             found = self.tokenizer.encode_batch_fast(
                 [w.decode("utf-8") for w in new], add_special_tokens=False
             )
-            # One array for all: a numpy array per word would cost more than its encoding.
+            # One array for all: a numpy array per run would cost more than its encoding.
             ids = [e.ids for e in found]
             flat = np.array([i for x in ids for i in x], self.dtype).tobytes()
             width, at = len(self.end), 0
-            for word, x in zip(new, ids):
-                self.known[word] = flat[at : (at := at + width * len(x))]
-        get = self.known.__getitem__
+            for run, x in zip(new, ids):
+                known[run] = flat[at : (at := at + width * len(x))]
+        get = known.__getitem__
         return [b"".join(map(get, p)) + self.end for p in parts]
 
 
@@ -207,14 +243,14 @@ def _write_part(root: str, tokenizer: str):
         writer = sink = None
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, 100):
+            for at in range(0, batch.num_rows, SLICE):
                 if writer is None:
                     store, path = fs.FileSystem.from_uri(uri)
                     store.create_dir(path.rpartition("/")[0], recursive=True)
                     sink = store.open_output_stream(path, compression=None)
                     writer = Writer(sink, encoder.dtype)
-                encoded = encoder.encode(texts.slice(at, 100).to_pylist())
-                for doc_id, x in zip(ids.slice(at, 100).to_pylist(), encoded):
+                encoded = encoder.encode(texts.slice(at, SLICE).to_pylist())
+                for doc_id, x in zip(ids.slice(at, SLICE).to_pylist(), encoded):
                     writer.add(doc_id, x)
         if writer:
             writer.close()

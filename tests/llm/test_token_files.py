@@ -18,7 +18,8 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def rows():
     rng = random.Random(3)
     odd = ["<|endoftext|>", "a<|endoftext|>b", "it's", "ÉTÉ", "éa", "́x", "ΣΑΣ", "x\x1cy", "a b",
-           "　", "日本語", "١٢٣", "i̇", "…", "'S", "don't!!", "\x85", "A​B", "ſ", "🙂🙂", "word."]
+           "　", "日本語", "١٢٣", "i̇", "…", "'S", "don't!!", "\x85", "A​B", "ſ", "🙂🙂", "word.", "Word!!", "it's.", "IT'S,", "x'", "x'.", "a1.", "été.", "H̱.", "H\u0331a", "A\u030a", "É.b.", "e.g.x", "a`b", "a_b", "a~", "a\u0301.", "<|startoftext|>", "<|END|>.",
+           "a<|", "-|", "'re", "we're!", "\x1c.", "a\x7f."]
     seps = [" ", "  ", "\n", "\t", "\x0b", "\r\n"]
     out = [(None, "null id"), (5, None), (6, ""), (7, " \n"), (7, "again"), (7, "again"), (2, "x" * 5000)]
     for i in range(300):
@@ -28,6 +29,14 @@ def rows():
     return out
 
 
+def test_encoder_equals_tokenizer_when_its_dictionaries_are_small(rows):
+    plain, encoder = Tokenizer.from_file(PATH), tf.Encoder(PATH)
+    encoder.known.size = 7
+    for _, text in rows * 2:
+        want = [*plain.encode(text or "", add_special_tokens=False).ids, 1]
+        assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == want
+
+
 def test_round_trip(spark, rows):
     plain = Tokenizer.from_file(PATH)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumnRenamed("x", "ids")
