@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash, token_files
+from . import decontaminate, mixing, quality, sharding, simhash, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -16,6 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    score = toxicity.scorer(toxicity.fit(documents, labels))
+    return documents.select("doc_id", score("text").alias("t")).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "t.score",
+        F.when(F.col("t.score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        "t.hits",
+        "t.misspelled",
+        "t.quoted",
+    )
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +68,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
     "op6_decontaminate": op6_decontaminate,
