@@ -186,3 +186,9 @@ def contamination(
 
 def _others(docs: DataFrame, column: str) -> list[str]:
     return [f"`{c}`" for c in docs.columns if c != column]
+
+
+def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that contain no item, with their columns."""
+    found = f"_matches_{uuid.uuid4().hex}"
+    return contamination(docs, items, found, **options).where(F.size(found) == 0).drop(found)

@@ -20,6 +20,7 @@ order finds that place, so no source is sorted in one task.
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 from itertools import cycle
 
@@ -297,3 +298,20 @@ def mix(
         "target",
         (times + F.col("extra")).cast("bigint").alias("taken"),
     )
+
+
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of the mix: each row of ``docs`` as often as the mix takes it, columns unchanged.
+
+    Rows the mix leaves out go, those without words included. ``docs`` must come in the same order
+    each time it is evaluated, as a scan does: rows are told apart by their place.
+    """
+    place, times = f"_place_{uuid.uuid4().hex}", f"_times_{uuid.uuid4().hex}"
+    marked = docs.withColumn(place, F.monotonically_increasing_id())
+    taken = mix(marked, doc_id, text, keep={place: F.col(place)}, whole=True, **options)
+    taken = taken.where("taken > 0").select(place, (F.col("taken") / F.col("size")).cast("int").alias(times))
+    return (
+        marked.join(taken, place)
+        .withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+        .drop(place, times)
+    )

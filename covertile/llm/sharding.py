@@ -14,10 +14,9 @@ from __future__ import annotations
 import heapq
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covertile.plans.ranks import ranked
 from covertile.plans.workspace import Workspace
 
 SHARDS = 16
@@ -91,16 +90,30 @@ def shard_of_rows(
     )
 
 
-def slots(
-    ws: Workspace, placed: DataFrame, order: list[str], shard: str = "shard", slot: str = "slot"
-) -> DataFrame:
-    """Number the rows of each shard from 0 without gaps, along ``order`` (ties in any order).
+def slots(ws: Workspace, placed: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``slot``: numbers from 0 without gaps in each ``shard``, along ``order`` (ties anyhow).
 
-    Rows are range partitioned, so one shard is numbered by many tasks.
+    Rows are range partitioned, so many tasks number a shard, and written, as a second evaluation
+    may cut the ranges elsewhere. What the broadcast holds is a row for each task and shard in it:
+    at most their sum, as the ranges are disjoint.
     """
-    by = [F.col(c) for c in order]
-    return ranked(ws, placed, [shard], by, "ordered", slot).withColumn(
-        slot, (F.col(slot) - 1).cast("bigint")
+    by = ["shard", *order]
+    laid = ws.write(
+        placed.repartitionByRange(*by)
+        .sortWithinPartitions(*by)
+        .withColumn("range_", F.spark_partition_id())
+        .withColumn("at_", F.monotonically_increasing_id()),
+        "ordered",
+    )
+    earlier = Window.partitionBy("shard").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        laid.groupBy("shard", "range_")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("at_").alias("first_"))
+        .withColumn("before_", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .drop("n")
+    )
+    return laid.join(F.broadcast(starts), ["shard", "range_"]).select(
+        *placed.columns, (F.col("before_") + F.col("at_") - F.col("first_")).alias("slot")
     )
 
 
@@ -120,3 +133,12 @@ def shard_table(
     return slots(ws, placed, ["doc_id", "text_crc32"]).withColumn(
         "grown_shard", F.lit(None).cast("int")
     )
+
+
+def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``, in place of columns of these names; rows by shard and id."""
+    ws = Workspace(docs.sparkSession, "sharded")
+    names = [f"`{c}`" for c in docs.columns if c not in ("shard", "slot")]
+    placed = shard_of_rows(docs, "shard", text, shards)
+    placed = placed.select("shard", F.col(doc_id).alias("id"), F.struct(*names).alias("row"))
+    return slots(ws, placed, ["id"]).select("row.*", "shard", "slot")
