@@ -31,6 +31,7 @@ from pyspark.sql.types import LongType
 
 from covertile.plans.workspace import Workspace
 
+from .rows import numbered
 from .sharding import text_key
 
 WEIGHTS = (3, 1, 2)
@@ -202,7 +203,10 @@ def mix(
         [(s, rank[s], sizes[s], wanted[s]) for s in rank],
         "named string, rank int, source_size bigint, target double",
     )
-    rows = rows.join(listed, F.col("source").eqNullSafe(F.col("named"))).drop("source", "named")
+    # Tables with a row for each source, or for each arc of the flow, came from the driver: they are
+    # small enough to broadcast, and a hot source is not dealt to one task.
+    named = F.broadcast(listed)
+    rows = rows.join(named, F.col("source").eqNullSafe(F.col("named"))).drop("source", "named")
 
     held = rows.where("size > 0").groupBy("k1", "k2", "rank").agg(F.sum("size").alias("words"), F.max("size").alias("size"))
     texts = held.groupBy("k1", "k2").agg(
@@ -251,13 +255,13 @@ def mix(
     of_text = (
         texts.where(F.size("pattern") > 1)
         .select("k1", "k2", "pattern", F.explode("pattern").alias("rank"))
-        .join(listed, ["pattern", "rank"])
+        .join(F.broadcast(listed), ["pattern", "rank"])
         .select("k1", "k2", "rank", "ratio")
     )
     share_of = F.when(F.col("size") == 0, 0.0).otherwise(F.coalesce("ratio", "own_ratio"))
     rows = (
         rows.join(of_text, ["k1", "k2", "rank"], "left")
-        .join(of_source, "rank")
+        .join(F.broadcast(of_source), "rank")
         .withColumn("ratio", share_of)
         .withColumn("times", F.floor("ratio"))
         .withColumn("part", F.col("ratio") - F.col("times"))
@@ -274,7 +278,7 @@ def mix(
         .where("before <= left AND left < before + words")
         .select("rank", F.col("bucket").alias("cut"), F.col("before"))
     )
-    rows = rows.join(cut, "rank", "left")
+    rows = rows.join(F.broadcast(cut), "rank", "left")
     inside = rows.where(F.col("bucket") == F.col("cut"))
     outside = rows.where(F.col("bucket").isNull() | F.col("cut").isNull() | (F.col("bucket") != F.col("cut")))
     # The rows of one bucket of a source: some 1 / PER_UNIT of them.
@@ -303,11 +307,10 @@ def mix(
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of the mix: each row of ``docs`` as often as the mix takes it, columns unchanged.
 
-    Rows the mix leaves out go, those without words included. ``docs`` must come in the same order
-    each time it is evaluated, as a scan does: rows are told apart by their place.
+    Rows the mix leaves out go, those without words included.
     """
-    place, times = f"_place_{uuid.uuid4().hex}", f"_times_{uuid.uuid4().hex}"
-    marked = docs.withColumn(place, F.monotonically_increasing_id())
+    times = f"_times_{uuid.uuid4().hex}"
+    marked, place = numbered(Workspace(docs.sparkSession, "mixed"), docs)
     taken = mix(marked, doc_id, text, keep={place: F.col(place)}, whole=True, **options)
     taken = taken.where("taken > 0").select(place, (F.col("taken") / F.col("size")).cast("int").alias(times))
     return (
