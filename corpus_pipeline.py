@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each reading what the last one wrote.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows it is given. All but the last return
-the columns of their input. ``docs`` is a scan of written files, so rows keep their places.
+the columns of their input.
 
 Null and empty texts are clean and have no words: they pass the filters as one group of
 near-duplicates, and the mix takes nothing of them. Repeated rows are near-duplicates of each other.

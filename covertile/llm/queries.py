@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash, token_files, toxicity
+from . import decontaminate, line_dedup, mixing, quality, sharding, simhash, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -46,6 +46,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_dedup.drop_repeated_windows(documents)
+    return left.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a test item it contains."""
     documents, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
+    "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
@@ -90,6 +97,26 @@ _SHINGLES = r"""
 """
 
 ORACLES: dict[str, str] = {
+    "op5_line_dedup": r"""
+WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+windows AS (
+  SELECT doc_id, pos, lines[pos + 1 : pos + 3] AS w
+  FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM cut WHERE len(lines) >= 3)),
+numbered AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k
+  FROM windows WHERE regexp_matches(array_to_string(w, ''), '[^\x20\x09-\x0D]')),
+gone AS (
+  SELECT DISTINCT doc_id, pos + o AS line_at
+  FROM numbered, (VALUES (0), (1), (2)) AS t(o) WHERE k > 1),
+every AS (SELECT doc_id, lines[line_at + 1] AS line, line_at
+  FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS line_at FROM cut)),
+kept AS (
+  SELECT e.doc_id, string_agg(line, chr(10) ORDER BY e.line_at) AS text
+  FROM every e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.line_at = g.line_at GROUP BY e.doc_id),
+counts AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT c.doc_id, coalesce(len(c.lines), 0) AS n_lines, coalesce(n.n_removed, 0) AS n_removed,
+  md5(coalesce(k.text, CASE WHEN c.lines IS NULL THEN NULL ELSE '' END)) AS kept_md5
+FROM cut c LEFT JOIN kept k USING (doc_id) LEFT JOIN counts n USING (doc_id)""",
     "op6_decontaminate": f"""
 WITH {_SHINGLES.format(name="doc", id="doc_id", table="documents")},
 {_SHINGLES.format(name="item", id="item_id", table="benchmark")},

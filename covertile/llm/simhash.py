@@ -21,7 +21,6 @@ within four bits, so a star to the smallest is exact and linear.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,6 +34,7 @@ from pyspark.sql.types import LongType
 from covertile.plans.workspace import Workspace
 
 from .components import components
+from .rows import numbered
 from .texts import words_of
 
 MAX_BITS = 4
@@ -315,12 +315,11 @@ def near_duplicates(
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: the smallest id of each group stays.
 
-    Repeated rows of that id count as copies of each other, so one of them stays. ``docs`` must
-    be a scan or another frame whose rows come in the same order each time it is evaluated, as
-    rows are told apart by their place. Columns are those of ``docs``, whatever their names.
+    Repeated rows of that id count as copies of each other, so one of them stays; null is smaller
+    than any id. Columns are those of ``docs``, whatever their names.
     """
-    place, inner = f"_place_{uuid.uuid4().hex}", "_place"
-    marked = docs.withColumn(place, F.monotonically_increasing_id())
+    inner = "_place"
+    marked, place = numbered(Workspace(docs.sparkSession, "near_dedup"), docs)
     groups = near_duplicates(
         marked.select(F.struct(F.col(doc_id).alias("id"), F.col(place).alias(inner)).alias("doc_id"), F.col(text).alias("text")),
         **options,
