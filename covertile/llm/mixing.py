@@ -266,7 +266,13 @@ def mix(
         .withColumn("times", F.floor("ratio"))
         .withColumn("part", F.col("ratio") - F.col("times"))
         .withColumn("place", F.when(F.col("part") > 0, F.col("unit") / F.col("part")))
-        .withColumn("bucket", F.least(F.floor(F.col("place") * PER_UNIT), F.lit(BUCKETS - 1)).cast("int"))
+        # ``least`` passes over nulls: rows taken in whole times have no bucket.
+        .withColumn(
+            "bucket",
+            F.when(
+                F.col("part") > 0, F.least(F.floor(F.col("place") * PER_UNIT), F.lit(BUCKETS - 1))
+            ).cast("int"),
+        )
     )
     rows = ws.write(rows, "placed")
     upto = Window.partitionBy("rank").orderBy("bucket")

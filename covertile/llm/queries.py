@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, quality, sharding, simhash, token_files, toxicity
+from . import decontaminate, license_scan, line_dedup, mixing, quality, sharding, simhash, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -30,6 +30,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document and license notice it holds: most shingles shared by a window."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.license_scan(documents, license_scan.notices(spark))
+    matches = found.select("doc_id", F.explode("licenses").alias("m")).select("doc_id", "m.*")
+    return matches.groupBy("doc_id", "license").agg(
+        F.max("shared").alias("shared"), F.first("shingles").alias("shingles")
+    )
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +85,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_license_scan": op2_license_scan,
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
@@ -96,7 +107,42 @@ _SHINGLES = r"""
   FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM {name}_words WHERE len(w) >= 5))
 """
 
+
+
+def _license_sql() -> str:
+    """Windows of two blocks of w shingles, w by the size of the notice."""
+    rows = []
+    for name, text in license_scan.NOTICES.items():
+        n = len(decontaminate.shingle_set(decontaminate.folded_words(text)))
+        quoted = text.replace("'", "''")
+        w, least = license_scan.window_class(n), license_scan.least_shared(n)
+        rows.append(f"('{name}', '{quoted}', {n}, {w}, {least})")
+    words = r"""regexp_extract_all(
+    translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+')"""
+    return f"""
+WITH notices AS (
+  SELECT *, {words.format(text="text")} AS v
+  FROM (VALUES {", ".join(rows)}) AS t(license, text, shingles, w, least)),
+parts AS (
+  SELECT DISTINCT license, shingles, w, least, v[i : i + 4] AS s
+  FROM (SELECT *, unnest(range(1, len(v) - 3)) AS i FROM notices)),
+cut AS (SELECT doc_id, {words.format(text="text")} AS v FROM documents),
+own AS (
+  SELECT doc_id, i - 1 AS pos, v[i : i + 4] AS s
+  FROM (SELECT doc_id, v, unnest(range(1, len(v) - 3)) AS i FROM cut WHERE len(v) >= 5)),
+met AS (
+  SELECT doc_id, license, shingles, least, p.s, unnest([pos // w, greatest(pos // w - 1, 0)]) AS g
+  FROM own JOIN parts p ON own.s = p.s),
+counts AS (
+  SELECT doc_id, license, shingles, least, g, count(DISTINCT s) AS shared
+  FROM met GROUP BY ALL)
+SELECT doc_id, license, max(shared) AS shared, shingles
+FROM counts WHERE shared >= least GROUP BY doc_id, license, shingles"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_license_scan": _license_sql(),
     "op5_line_dedup": r"""
 WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 windows AS (
