@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, mixing, quality, sharding, simhash, token_files, toxicity
+from . import decontaminate, license_scan, line_dedup, mixing, quality, sharding, simhash, substring_dedup, token_files, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -83,6 +83,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.drop_repeated_spans(_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: Words of decontaminate.folded_words and the distinct five-word shingles of a table's texts.
