@@ -2,25 +2,31 @@ import pytest
 
 import covertile as ct
 
-EXAMPLE = """23
-0 1 2 3 6 7 8 9 12 13 14 15 18 19 20 21
+EXAMPLE = """2
+11 12 13 14 15 16 21 22
 # a comment
 
-0 1 2 3 4 12 13 14 15 16
+11 12 13 31 32
 """
-GRAPHVIZ = """graph G {
-0 [label="p1 = 1 p2 = 1 p3 = 1 "];
-0 -- 1;
-0 -- 1;
+GRAPHVIZ = """graph roads {
+4 [label="crossing -- 9"];
+9;
+4 -- 9;
+4 -- 9 [w=1];
+5--4;
+4 -> 6; // one way
+7 -- 8 -- 9;
+3 to 5
 }
 """
+GRAPHVIZ_EDGES = [(3, 5), (4, 6), (4, 9), (4, 9), (5, 4), (7, 8), (8, 9)]
 DIMACS = """c example
-p edge 4 4
+p edge 5 4
 e 1 2
-e 2 1
-e 2 3
+e 2 1 7
+e 2 3 weight 0.5
 
-e 3 4
+e 3 5
 """
 
 
@@ -34,13 +40,12 @@ def sets(df):
 def test_hyperedge_text(spark, tmp_path):
     (tmp_path / "h.txt").write_text(EXAMPLE)
     found = sets(ct.read_hyperedges(spark, str(tmp_path)))
-    assert {k: len(v) for k, v in found.items()} == {1: 16, 2: 10}
-    assert found[2] == {0, 1, 2, 3, 4, 12, 13, 14, 15, 16}
-    assert sets(ct.read_hyperedges(spark, str(tmp_path), header=False))[1] == {23}
+    assert found == {1: {11, 12, 13, 14, 15, 16, 21, 22}, 2: {11, 12, 13, 31, 32}}
+    assert sets(ct.read_hyperedges(spark, str(tmp_path), header=False))[1] == {2}
     strings = spark.createDataFrame([("k", EXAMPLE)], "key string, text string")
     parsed = ct.parse_hyperedges(strings)
     assert sets(parsed) == found and parsed.columns == ["key", "set_id", "elem_id"]
-    assert sets(ct.parse_hyperedges(strings, header=False))[1] == {23}
+    assert sets(ct.parse_hyperedges(strings, header=False))[1] == {2}
 
 
 def test_first_line_is_dropped_even_as_comment(spark, tmp_path):
@@ -90,22 +95,46 @@ def test_round_trip(spark, tmp_path, header):
 
 
 def test_graphviz(spark, tmp_path):
-    (tmp_path / "g.dot").write_text(GRAPHVIZ)
-    assert [tuple(r) for r in ct.read_graphviz(spark, str(tmp_path)).collect()] == [(0, 1)] * 2
+    for name in ("a.dot", "b.dot"):
+        (tmp_path / name).write_text(GRAPHVIZ)
+    read = ct.read_graphviz(spark, str(tmp_path / "a.dot"))
+    assert sorted(tuple(r) for r in read.collect()) == GRAPHVIZ_EDGES
+    by_path = ct.read_graphviz(spark, str(tmp_path), by_path=True)
+    assert by_path.columns == ["path", "src", "dst"]
+    assert sorted((r[0][-5:], r[1], r[2]) for r in by_path.collect()) == [
+        (f, *e) for f in ("a.dot", "b.dot") for e in GRAPHVIZ_EDGES
+    ]
     strings = spark.createDataFrame([(7, GRAPHVIZ)], "key int, text string")
-    assert [tuple(r) for r in ct.parse_graphviz(strings).collect()] == [(7, 0, 1)] * 2
+    assert sorted(tuple(r) for r in ct.parse_graphviz(strings).collect()) == [(7, *e) for e in GRAPHVIZ_EDGES]
+
+
+@pytest.mark.parametrize("line", ["1 -- x;", "1 2;", "1 -- ;", "1 --"])
+def test_graphviz_edges_are_not_lost(spark, line):
+    strings = spark.createDataFrame([(line,)], "text string")
+    with pytest.raises(Exception, match="not an edge line"):
+        ct.parse_graphviz(strings).collect()
 
 
 def test_dimacs(spark, tmp_path):
     (tmp_path / "g.col").write_text(DIMACS)
     edges = {tuple(r) for r in ct.read_dimacs(spark, str(tmp_path)).collect()}
-    assert edges == {(1, 2), (2, 3), (3, 4)}
-    assert [r[0] for r in ct.dimacs_vertices(spark, str(tmp_path)).orderBy("id").collect()] == [1, 2, 3, 4]
+    assert edges == {(1, 2), (2, 3), (3, 5)}
+    assert [r[0] for r in ct.dimacs_vertices(spark, str(tmp_path)).orderBy("id").collect()] == [1, 2, 3, 4, 5]
     strings = spark.createDataFrame([(7, DIMACS)], "key int, text string")
     assert {tuple(r) for r in ct.parse_dimacs(strings).collect()} == {(7, a, b) for a, b in edges}
+    (tmp_path / "h.col").write_text("p edge 2 1\ne 1 2\n")
+    both = ct.read_dimacs(spark, str(tmp_path), by_path=True).collect()
+    assert sorted((r[0][-5:], r[1], r[2]) for r in both) == [
+        ("g.col", 1, 2), ("g.col", 2, 3), ("g.col", 3, 5), ("h.col", 1, 2),
+    ]
+    counts = ct.dimacs_vertices(spark, str(tmp_path), by_path=True).groupBy("path").count().collect()
+    assert sorted(r[1] for r in counts) == [2, 5]
+    (tmp_path / "h.col").write_text("e 1 two\n")
+    with pytest.raises(Exception, match="not an edge line"):
+        ct.read_dimacs(spark, str(tmp_path)).collect()
     (tmp_path / "g.col").write_text("e 1 2\n")
     with pytest.raises(ValueError):
-        ct.dimacs_vertices(spark, str(tmp_path))
+        ct.dimacs_vertices(spark, str(tmp_path / "g.col"))
 
 
 def test_results_are_appended(spark, tmp_path):
