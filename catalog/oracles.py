@@ -298,6 +298,9 @@ def build() -> dict[str, str]:
             coalesce(string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst), '') AS nbrs
             FROM orders LEFT JOIN (SELECT DISTINCT src, dst FROM ({both})) ON src = o_orderkey
             GROUP BY o_orderkey""",
+        "adjacency_blocks": f"""SELECT src AS id, count(*) AS degree,
+            string_agg(CAST(dst AS VARCHAR), ' ' ORDER BY dst) AS nbrs
+            FROM (SELECT DISTINCT src, dst FROM ({both})) GROUP BY src""",
         "assign_priority": """SELECT o_orderkey AS id, md5('11:' || o_orderkey) AS priority
             FROM orders""",
         "greedy_set_cover": _cover(SUPPLY, "0", PICKS),
@@ -334,10 +337,13 @@ def build() -> dict[str, str]:
             "SELECT count(DISTINCT color) AS colors, max(color) AS max_color FROM colored",
         ),
         "validate_coloring": f"""WITH half AS MATERIALIZED (
-                SELECT src, dst, o_orderpriority AS p FROM ({DISPATCH})
+                SELECT src, dst, o_orderpriority AS p, o_orderstatus AS s FROM ({DISPATCH})
                 JOIN orders ON o_orderkey = src)
             SELECT 'naive' AS coloring, src, dst FROM half
-            JOIN orders ON o_orderkey = dst AND o_orderpriority = p""",
+            JOIN orders ON o_orderkey = dst AND o_orderpriority = p
+            UNION ALL
+            SELECT 'partial', src, dst FROM half JOIN orders ON o_orderkey = dst
+            WHERE s <> 'F' OR o_orderstatus <> 'F' OR o_orderpriority = p""",
         "coloring_trials": _schedule(
             trial_vertices,
             trial_edges,
@@ -361,7 +367,8 @@ def build() -> dict[str, str]:
                 SELECT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey <> l_partkey)
             GROUP BY l_orderkey, elem_id""",
         "graphviz_files": DISPATCH,
-        "graphviz_strings": DISPATCH,
+        "graphviz_strings": f"""SELECT src, dst FROM ({DISPATCH})
+            UNION ALL SELECT dst, src FROM ({DISPATCH})""",
         "dimacs_files": dispatch_once,
         "dimacs_strings": f"SELECT src AS own, src, dst FROM ({dispatch_once})",
         "dimacs_vertex_range": """SELECT range AS id

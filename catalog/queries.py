@@ -133,6 +133,16 @@ def adjacency(spark, d):
     return found.withColumn("nbrs", nbrs)
 
 
+def adjacency_blocks(spark, d):
+    """Blocks of about three neighbours, so that many vertices have several, put together again."""
+    found = ct.adjacency(dispatch_edges(spark, d), neighbours=3)
+    whole = found.groupBy("id").agg(
+        F.max("degree").alias("degree"), F.flatten(F.collect_list("nbrs")).alias("nbrs")
+    )
+    nbrs = F.array_join(F.transform(F.sort_array("nbrs"), lambda x: x.cast("string")), " ")
+    return whole.withColumn("nbrs", nbrs)
+
+
 def assign_priority(spark, d):
     return ct.assign_priority(order_ids(spark, d), seed=11)
 
@@ -220,17 +230,21 @@ def n_colors(spark, d):
 
 
 def validate_coloring(spark, d):
-    """Conflicts left by greedy (none), next to those of colouring by priority class."""
+    """What is wrong with greedy (nothing), with colouring by priority class, and with the same
+    where only some orders have a colour."""
     edges = dispatch_edges(spark, d)
     good = ct.color_greedy(order_ids(spark, d), edges)
     naive = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("color")
     )
+    some = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    partial = naive.join(some, naive.id == some.o_orderkey, "left_semi")
     found = [
+        ct.validate_coloring(partial, edges).select(F.lit("partial").alias("coloring"), "src", "dst"),
         ct.validate_coloring(good, edges).select(F.lit("greedy").alias("coloring"), "src", "dst"),
         ct.validate_coloring(naive, edges).select(F.lit("naive").alias("coloring"), "src", "dst"),
     ]
-    return found[0].union(found[1])
+    return found[0].union(found[1]).union(found[2])
 
 
 # --- trials and sweeps -------------------------------------------------------------------------
@@ -304,13 +318,18 @@ def graphviz_files(spark, d):
     labels = table(spark, d, "orders").selectExpr(
         "concat(o_orderkey, ' [label=\"priority = ', o_orderpriority, '\"];') AS value"
     )
-    edges = dispatch_edges(spark, d).selectExpr("concat(src, ' -- ', dst, ';') AS value")
+    edges = dispatch_edges(spark, d).selectExpr(
+        """concat(src, CASE pmod(src, 3) WHEN 0 THEN ' -- ' WHEN 1 THEN '--' ELSE ' -> ' END, dst,
+            CASE pmod(dst, 4) WHEN 0 THEN ' [weight=2, label="8 -- 9"];' WHEN 1 THEN ';'
+            WHEN 2 THEN '; // 1 -- 2' ELSE '' END) AS value"""
+    )
     return ct.read_graphviz(spark, _write_lines(ws, labels.union(edges)))
 
 
 def graphviz_strings(spark, d):
     text = dispatch_edges(spark, d).selectExpr(
-        "concat('graph G {\n', src, ' [label=\"1 -- 2\"];\n', src, ' -- ', dst, ';\n}') AS text"
+        "concat('graph G {\n', src, ' [label=\"1 -- 2\"];\n', src, ' -- ', dst, ' -- ', src,"
+        " ' [w=1];\n}') AS text"
     )
     return ct.parse_graphviz(text)
 
@@ -318,7 +337,9 @@ def graphviz_strings(spark, d):
 def dimacs_files(spark, d):
     """Both directions of every edge are written; each edge comes back once."""
     ws = Workspace(spark, "dimacs")
-    lines = ct.both_ways(dispatch_edges(spark, d)).selectExpr("concat('e ', src, ' ', dst) AS value")
+    lines = ct.both_ways(dispatch_edges(spark, d)).selectExpr(
+        "concat('e ', src, ' ', dst, CASE pmod(dst, 2) WHEN 0 THEN ' 5' ELSE '' END) AS value"
+    )
     return ct.read_dimacs(spark, _write_lines(ws, lines))
 
 
@@ -374,6 +395,7 @@ QUERIES = {
         conflict_graph_strength3,
         conflict_vertices,
         adjacency,
+        adjacency_blocks,
         assign_priority,
         greedy_set_cover,
         greedy_set_cover_digit_ties,

@@ -22,12 +22,10 @@ from ..plans.workspace import Workspace
 from .checks import check_at_least
 from .graphs import NEIGHBOURS, both_ways, vertices_of
 
-# ``join='broadcast'`` sends at most this many freshly fixed vertices; beyond it Spark shuffles.
-BROADCAST_ROWS = 2_000_000
+# ``join='broadcast'`` sends freshly fixed vertices of at most so many bytes; beyond, Spark decides.
+BROADCAST_BYTES = 32 << 20
 # The stored edges are written anew when half are used up and at least this many are stored.
 COMPACT_ROWS = 4_000_000
-# Edges per bucket, for graphs large enough to be bucketed.
-BUCKET_EDGES = 4_000_000
 
 
 class NotConverged(RuntimeError):
@@ -44,8 +42,8 @@ def color_greedy(
     """``(id, color)``: each vertex takes the smallest colour its smaller neighbours leave free.
 
     Equals first-fit in ``(priority, id)`` order. ``join='broadcast'`` sends the freshly fixed
-    vertices to the edges instead of shuffling, as long as they are few enough (checked every
-    round). ``layout='adjacency'`` stores neighbour arrays, cut to bounded length, instead of
+    vertices to the edges instead of shuffling, as long as the written rows are small enough
+    (checked every round, after hot vertices are copied). ``layout='adjacency'`` stores neighbour arrays, cut to bounded length, instead of
     edge rows. Neither changes the result.
     """
     return _scheduled(vertices, edges, join, layout, first_fit=True, **options)
@@ -70,15 +68,21 @@ def _priority_of(seed, priority: Callable[[Column], Column] | None, by: list[str
     return priority or (lambda id_: hash_priority(id_, seed))
 
 
-def _with_vertices(vertices, edges, by, seed, priority):
+def _with_vertices(ws, vertices, edges, by, seed, priority):
     """Vertices with a priority, and the priorities of both edge ends as ``ps`` and ``pd``.
 
+    An edge end that is not among the given vertices raises.
+
     A priority that is computed from the id costs no join; a stored one is joined to both ends.
     """
     key = [*by, "id"]
-    edges = edges.where(F.col("src") != F.col("dst")).select(*by, "src", "dst")
+    edges = ws.write(edges.where("src <> dst").select(*by, "src", "dst"), "given")
     if vertices is None:
         vertices = vertices_of(edges, by)
+    else:
+        known = vertices.select(*key).distinct()
+        if vertices_of(edges, by).join(known, key, "left_anti").limit(1).count():
+            raise ValueError("an edge names a vertex that is not among the vertices")
     if "priority" in vertices.columns:
         vertices = vertices.select(*key, "priority")
 
@@ -106,17 +110,22 @@ def _scheduled(
     hot_rows: int = HOT_ROWS,
     neighbours: int = NEIGHBOURS,
     compact_rows: int = COMPACT_ROWS,
-    bucket_rows: int = COMPACT_ROWS,
 ) -> DataFrame:
     if join not in ("auto", "broadcast"):
         raise ValueError(f"join must be 'auto' or 'broadcast', got {join!r}")
     if layout not in ("edges", "adjacency"):
         raise ValueError(f"layout must be 'edges' or 'adjacency', got {layout!r}")
     check_at_least("max_rounds", max_rounds, 1)
-    by = list(by)
+    with Workspace(edges.sparkSession, "coloring") as ws:
+        rule = (join, layout, first_fit, list(by), max_rounds, hot_rows, neighbours, compact_rows)
+        vertices, edges = _with_vertices(ws, vertices, edges, list(by), seed, priority)
+        return _fix_in_rounds(ws, vertices, edges, *rule)
+
+
+def _fix_in_rounds(
+    ws, vertices, edges, join, layout, first_fit, by, max_rounds, hot_rows, neighbours, compact_rows
+) -> DataFrame:
     key = [*by, "id"]
-    ws = Workspace(edges.sparkSession, "coloring")
-    vertices, edges = _with_vertices(vertices, edges, by, seed, priority)
     up = precedes(F.col("ps"), F.col("src"), F.col("pd"), F.col("dst"))
     down, seen = ws.measured(
         edges.select(
@@ -128,7 +137,7 @@ def _scheduled(
     )
     limit = hot_rows if layout == "edges" else neighbours
     lanes = Lanes(ws, "src", down, key, "dst", limit, seen["rows"])
-    stored = _store(ws, down, lanes, layout, "stored", seen["rows"], bucket_rows)
+    stored = _store(ws, down, lanes, layout, "stored")
 
     # State of a vertex: smaller neighbours still open, colours taken around it, own colour.
     waits = down.groupBy(*by, F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("open"))
@@ -143,77 +152,79 @@ def _scheduled(
             *([taken.alias("taken")] if first_fit else []),
         )
         .withColumn("color", F.when(F.col("open") == 0, F.lit(1)))
+        .withColumn("round", F.lit(1))
     )
 
     names: list[str] = []
-    kept_edges = seen["rows"]
-    try:
-        while True:
-            number = len(names) + 1
-            names.append(f"state{number}")
-            written, seen = ws.measured(
-                state.withColumn("fixed", F.col("color").isNotNull()),
-                names[-1],
-                split="fixed",
-                fixed=F.count_if("fixed"),
-                edges=F.sum("open"),
-            )
-            if number > 1:
-                ws.drop(f"{names[-2]}/fixed=false")
-            left = seen["rows"] - seen["fixed"]
-            if not left:
-                break
-            if not seen["fixed"]:
-                raise ValueError("an edge names a vertex that is not among the vertices")
-            if number >= max_rounds:
-                raise NotConverged(f"{left} vertices are uncoloured after {max_rounds} rounds")
-            fresh = ws.half(written.schema, names[-1:], "fixed", True)
-            waiting = ws.half(written.schema, names[-1:], "fixed", False)
-            if kept_edges >= compact_rows and 2 * seen["edges"] < kept_edges:
-                # Only edges towards waiting vertices are used from here on.
-                ends = waiting.select(*by, F.col("id").alias("dst"))
-                down = ws.write(down.join(ends, [*by, "dst"], "left_semi"), f"down{number}")
-                kept_edges = seen["edges"]
-                stored = _store(
-                    ws, down, lanes, layout, f"stored{number}", kept_edges, bucket_rows
-                )
-            sent = lanes.copy(fresh.select(*key, "color"))
-            if join == "broadcast" and seen["fixed"] <= BROADCAST_ROWS:
-                sent = F.broadcast(sent)
-            met = stored.join(sent, lanes.on)
-            if layout == "adjacency":
-                met = met.withColumn("dst", F.explode("nbrs"))
-            told = [F.count(F.lit(1)).alias("done")]
-            if first_fit:
-                told.append(F.collect_set("color").alias("news"))
-            news = met.groupBy(*by, F.col("dst").alias("id")).agg(*told)
-            union = F.array_union("taken", F.coalesce("news", taken)).alias("taken")
-            state = waiting.join(news, key, "left").select(
-                *key,
-                (F.col("open") - F.coalesce("done", F.lit(0).cast("bigint"))).alias("open"),
-                *([union] if first_fit else []),
-            )
-            color = mex(F.col("taken")) if first_fit else F.lit(number + 1)
-            state = state.withColumn("color", F.when(F.col("open") == 0, color))
-    finally:
-        ws.drop_tables()
-    return ws.half(written.schema, names, "fixed", True).select(*key, "color")
+    number, kept_edges = 0, seen["rows"]
+    while True:
+        number += 1
+        now = f"state{number}"
+        written, seen = ws.measured(
+            state.withColumn("fixed", F.col("color").isNotNull()),
+            now,
+            split="fixed",
+            fixed=F.count_if("fixed"),
+            edges=F.sum("open"),
+        )
+        if number > 1:
+            ws.drop(f"state{number - 1}/fixed=false")
+            ws.drop(f"sent{number - 1}")
+        left = seen["rows"] - seen["fixed"]
+        if seen["fixed"]:
+            names = ws.fold(written.schema, [*names, now], "fixed", True, f"fixed{number}")
+        if not left:
+            break
+        if number >= max_rounds:
+            raise NotConverged(f"{left} vertices are uncoloured after {max_rounds} rounds")
+        fresh = ws.half(written.schema, names[-1:], "fixed", True)
+        if names[-1] != now:  # the rounds were just folded; the others send nothing new
+            fresh = fresh.where(F.col("round") == number)
+        waiting = ws.half(written.schema, [now], "fixed", False)
+        if kept_edges >= compact_rows and 2 * seen["edges"] < kept_edges:
+            # Only edges towards waiting vertices are used from here on.
+            ends = waiting.select(*by, F.col("id").alias("dst"))
+            down = ws.write(down.join(ends, [*by, "dst"], "left_semi"), f"down{number}")
+            kept_edges = seen["edges"]
+            stored = _store(ws, down, lanes, layout, f"stored{number}")
+        met = stored.join(_sent(ws, lanes, fresh.select(*key, "color"), join, number), lanes.on)
+        if layout == "adjacency":
+            met = met.withColumn("dst", F.explode("nbrs"))
+        told = [F.count(F.lit(1)).alias("done")]
+        if first_fit:
+            told.append(F.collect_set("color").alias("news"))
+        news = met.groupBy(*by, F.col("dst").alias("id")).agg(*told)
+        union = F.array_union("taken", F.coalesce("news", taken)).alias("taken")
+        state = waiting.join(news, key, "left").select(
+            *key,
+            (F.col("open") - F.coalesce("done", F.lit(0).cast("bigint"))).alias("open"),
+            *([union] if first_fit else []),
+        )
+        color = mex(F.col("taken")) if first_fit else F.lit(number + 1)
+        state = state.withColumn("color", F.when(F.col("open") == 0, color))
+        state = state.withColumn("round", F.lit(number + 1))
+    result = ws.write(
+        ws.half(written.schema, names, "fixed", True).select(*key, "color"), "result"
+    )
+    ws.finish("result")
+    return result
 
 
-def _store(ws, down, lanes, layout, name, rows, bucket_rows) -> DataFrame:
-    """The edges as the rounds read them: rows, or bounded arrays per vertex and lane.
+def _sent(ws, lanes, fresh, join, number) -> DataFrame:
+    """The freshly fixed vertices as the edges meet them, broadcast if asked for and small."""
+    sent = lanes.copy(fresh)
+    if join != "broadcast":
+        return sent
+    sent = ws.write(sent, f"sent{number}")
+    return F.broadcast(sent) if ws.bytes(f"sent{number}") <= BROADCAST_BYTES else sent
 
-    Many edges are bucketed by their source, so that a round shuffles only what it sends.
-    """
+
+def _store(ws, down, lanes, layout, name) -> DataFrame:
+    """The edges as the rounds read them: rows, or bounded arrays per vertex and lane."""
     if layout == "edges":
-        if rows < bucket_rows:
-            return ws.write(lanes.tag(down), name) if lanes.count else down
-        kept = lanes.tag(down)
-    else:
-        kept = lanes.tag(down).groupBy(*lanes.on).agg(F.collect_list("dst").alias("nbrs"))
-    if rows < bucket_rows:
-        return ws.write(kept, name)
-    return ws.bucketed(kept, name, lanes.on, min(10_000, -(-rows // BUCKET_EDGES)))
+        return ws.write(lanes.tag(down), name) if lanes.count else down
+    packed = lanes.tag(down).groupBy(*lanes.on).agg(F.collect_list("dst").alias("nbrs"))
+    return ws.write(packed, name)
 
 
 def color_repair(
@@ -238,10 +249,13 @@ def color_repair(
     ``freeze``: only if itself changed), so later rounds look at those vertices only.
     """
     check_at_least("max_rounds", max_rounds, 1)
-    by = list(by)
+    with Workspace(edges.sparkSession, "repair") as ws:
+        vertices, edges = _with_vertices(ws, vertices, edges, list(by), seed, priority)
+        return _repair_in_rounds(ws, vertices, edges, freeze, list(by), max_rounds, hot_rows)
+
+
+def _repair_in_rounds(ws, vertices, edges, freeze, by, max_rounds, hot_rows) -> DataFrame:
     key = [*by, "id"]
-    ws = Workspace(edges.sparkSession, "repair")
-    vertices, edges = _with_vertices(vertices, edges, by, seed, priority)
     pairs, seen = ws.measured(
         both_ways(edges.select(*by, "src", "dst"), by)
         .distinct()
@@ -296,6 +310,7 @@ def color_repair(
         ws.drop(f"state{number - 1}")
         moved = seen["moved"]
         if not moved:
+            ws.finish(f"state{number}")
             return state.select(*key, "color")
     raise NotConverged(f"{moved} vertices still changed in round {max_rounds}")
 
@@ -309,32 +324,44 @@ def n_colors(coloring: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def validate_coloring(coloring: DataFrame, edges: DataFrame, by: list[str] = ()) -> DataFrame:
-    """``(src, dst, color)`` of the edges whose ends have the same colour; empty if valid."""
+    """``(src, dst, color)`` of the edges that break a colouring; empty if it is valid.
+
+    These are edges whose ends have the same colour, and edges with an end that has none: their
+    ``color`` is null.
+    """
     by = list(by)
 
     def end(name: str, color: str) -> DataFrame:
         return coloring.select(*by, F.col("id").alias(name), F.col("color").alias(color))
 
+    same = F.col("color") == F.col("other")
     return (
         edges.where(F.col("src") != F.col("dst"))
         .select(*by, "src", "dst")
-        .join(end("src", "color"), [*by, "src"])
-        .join(end("dst", "other"), [*by, "dst"])
-        .where(F.col("color") == F.col("other"))
-        .select(*by, "src", "dst", "color")
+        .join(end("src", "color"), [*by, "src"], "left")
+        .join(end("dst", "other"), [*by, "dst"], "left")
+        .where(same | F.col("color").isNull() | F.col("other").isNull())
+        .select(*by, "src", "dst", F.when(same, F.col("color")).alias("color"))
     )
 
 
 def rows_from_coloring(tuples: DataFrame, coloring: DataFrame, cols: list[str]) -> DataFrame:
     """One test row per colour: the tuples of a colour class agree, so they merge.
 
-    A variable no tuple of the class assigns stays null: any value will do.
+    A variable no tuple of the class assigns stays null: any value will do. A class whose tuples
+    give a variable different values is no valid colour class, and raises when rows are taken.
     """
     held = tuples.select(F.col("tuple_id").alias("id"), F.inline("items"))
     return (
         held.join(coloring, "id")
         .groupBy("color", "var")
-        .agg(F.max("value").alias("value"))
+        .agg(F.max("value").alias("value"), F.min("value").alias("least"))
+        .withColumn(
+            "value",
+            F.when(F.col("value") == F.col("least"), F.col("value")).otherwise(
+                F.raise_error(F.concat(F.lit("tuples of one colour differ in "), "var"))
+            ),
+        )
         .groupBy("color")
         .pivot("var", sorted(cols))
         .agg(F.max("value"))

@@ -59,45 +59,51 @@ def greedy_set_cover(
     least ``1 - eps`` of that bound when elements go to the first set in hash order: far fewer
     rounds, and every pick gains at least ``(1 - eps)^2`` of the best gain of its round. Gains
     sum to the number of elements either way. ``by`` runs independent problems side by side.
+    A pair without a set or without an element names nothing and is left out.
     """
     if batch is not None and not 0 < batch < 1:
         raise ValueError(f"batch must lie between 0 and 1, got {batch}")
-    by = list(by)
-    ws = Workspace(pairs.sparkSession, "cover")
-    rule = _tie(ties, seed, by)
-    base, seen = ws.measured(pairs.select(*by, "set_id", "elem_id").distinct(), "pairs")
+    rule = _tie(ties, seed, list(by))
+    with Workspace(pairs.sparkSession, "cover") as ws:
+        return _cover_in_rounds(ws, pairs, batch, rule, list(by), hot_rows, max_rounds, compact_rows)
+
+
+def _cover_in_rounds(ws, pairs, batch, rule, by, hot_rows, max_rounds, compact_rows) -> DataFrame:
+    named = pairs.where("set_id IS NOT NULL AND elem_id IS NOT NULL")
+    base, seen = ws.measured(named.select(*by, "set_id", "elem_id").distinct(), "pairs")
     by_set = Lanes(ws, "set", base, [*by, "set_id"], "elem_id", hot_rows, seen["rows"])
     by_elem = Lanes(ws, "elem", base, [*by, "elem_id"], "set_id", hot_rows, seen["rows"])
     if by_set.count or by_elem.count:
         base = ws.write(by_elem.tag(by_set.tag(base)), "pairs_in_lanes")
 
     choose = _local_winners if batch is None else _batch_winners
-    left, stored, rounds, to_cover = base, seen["rows"], [], None
+    left, stored, rounds, to_cover, number = base, seen["rows"], [], None, -1
     while stored:
-        number = len(rounds)
+        number += 1
         if number >= max_rounds:
             raise RuntimeError(f"cover not finished after {max_rounds} rounds")
-        rounds.append(f"best{number}")
         # One row per uncovered element: the set it goes to, and whether that set is picked now.
         best, seen = ws.measured(
             choose(left, by, by_set, rule, batch).withColumn("round", F.lit(number)),
-            rounds[-1],
+            f"best{number}",
             split="won",
             won=F.count_if("won"),
         )
         if number:
-            ws.drop(f"{rounds[-2]}/won=false")
+            ws.drop(f"best{number - 1}/won=false")
+        if seen["won"]:
+            rounds = ws.fold(best.schema, [*rounds, f"best{number}"], "won", True, f"picked{number}")
         uncovered_now = seen["rows"] - seen["won"]
         if not uncovered_now:
             break
         to_cover = to_cover or seen["rows"]
-        still = ws.half(best.schema, rounds[-1:], "won", False).select(*by, "elem_id")
+        still = ws.half(best.schema, [f"best{number}"], "won", False).select(*by, "elem_id")
         left = base.join(by_elem.copy(still), by_elem.on, "left_semi")
         if stored >= compact_rows and 2 * uncovered_now < to_cover:
             # Half the elements are covered: go on from the pairs that are left.
             base, seen = ws.measured(left, f"pairs{number}")
             left, stored, to_cover = base, seen["rows"], uncovered_now
-    if not rounds:
+    if not stored:
         return base.select(
             *by, F.lit(0).alias("step"), "set_id", F.lit(0).cast("bigint").alias("gain")
         )
@@ -109,9 +115,11 @@ def greedy_set_cover(
     order = [F.col("gain").desc(), F.col("tie"), F.col("set_id")]
     if batch is not None:
         order.insert(0, F.col("round"))
-    return ranked(ws, picks, by, order, "picks", "step").select(
+    steps = ranked(ws, picks, by, order, "picks", "step").select(
         *by, F.col("step").cast("int").alias("step"), "set_id", "gain"
     )
+    ws.finish("picks")
+    return steps
 
 
 def _gains(left: DataFrame, key: list[str], rule: Column) -> DataFrame:
@@ -151,10 +159,11 @@ def _batch_winners(left, by, by_set, rule, batch) -> DataFrame:
     keep = 1.0 - batch
     one = F.lit(0).alias("_all")
     gains = _gains(left, key, rule).select("*", one)
-    # One row per independent problem, so small by the choice of the caller.
+    # One row per independent problem; how it meets the sets is left to its size.
     floor = gains.groupBy(*by, "_all").agg((F.max("gain") * F.lit(keep)).alias("floor"))
-    able = gains.join(F.broadcast(floor), [*by, "_all"]).where(F.col("gain") >= F.col("floor"))
-    order = F.struct(F.xxhash64("set_id", "tie").alias("h"), "set_id", "tie", "floor")
+    able = gains.join(floor, [*by, "_all"]).where(F.col("gain") >= F.col("floor"))
+    hashed = hash_priority(F.col("set_id"), F.col("tie"))
+    order = F.struct(hashed.alias("h"), "set_id", "tie", "floor")
 
     def first_of(pairs: DataFrame, wanted: Column) -> DataFrame:
         return (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_priority
+from ..plans.lanes import Lanes
 from ..plans.workspace import Workspace
 
 # Rows of one value taken together by one side of a conflict cell.
@@ -132,22 +133,29 @@ def assign_priority(vertices: DataFrame, seed: int | str | None = None) -> DataF
 def adjacency(
     edges: DataFrame, vertices: DataFrame | None = None, neighbours: int = NEIGHBOURS
 ) -> DataFrame:
-    """``(id, block, degree, nbrs)``: sorted neighbour ids of every vertex.
+    """``(id, block, degree, nbrs)``: sorted neighbour ids of every vertex; the key is (id, block).
 
-    A vertex with more than ``neighbours`` neighbours takes several rows, one per block, so no
-    task ever holds an unbounded list. Isolated vertices of ``vertices`` have one empty row.
+    A vertex with more than ``neighbours`` neighbours takes several rows, one per block, and its
+    pairs go to several tasks: the block is a lane of the pairs before they are exchanged. The
+    degree is that of the vertex. Isolated vertices of ``vertices`` have one empty row.
     """
-    pairs = both_ways(edges).dropDuplicates(["src", "dst"])
-    degrees = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    ws = Workspace(edges.sparkSession, "adjacency")
+    pairs, seen = ws.measured(both_ways(edges).dropDuplicates(["src", "dst"]), "pairs")
+    lanes = Lanes(ws, "src", pairs, ["src"], "dst", neighbours, seen["rows"])
     packed = (
-        pairs.join(degrees, "src")
-        .withColumn(
-            "block",
-            F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / F.lit(neighbours))).cast("int"),
-        )
-        .groupBy(F.col("src").alias("id"), "block", "degree")
+        lanes.tag(pairs)
+        .groupBy(*lanes.on)
         .agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
+        .withColumn("size", F.size("nbrs").cast("bigint"))
     )
+    if lanes.count:
+        # Only blocks, not pairs, meet the degrees.
+        packed = ws.write(packed, "blocks")
+        degrees = packed.groupBy("src").agg(F.sum("size").alias("degree"))
+        packed = packed.join(degrees, "src").withColumnRenamed(lanes.lane, "block")
+    else:
+        packed = packed.withColumn("degree", F.col("size")).withColumn("block", F.lit(0))
+    packed = packed.select(F.col("src").alias("id"), "block", "degree", "nbrs")
     if vertices is None:
         return packed
     return (

@@ -9,6 +9,7 @@ and gives the planner the true size of every round, so that joins are chosen fro
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,11 +17,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+# Rounds whose results are kept apart at most, before they are written together.
+FOLD = 64
+
 _local_roots: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only for an unconfigured local session."""
+    """The shared folder of the session; a temporary one only for an unconfigured local session.
+
+    A configured folder is taken as it is: a ``file:`` one may be a mount all executors share.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
@@ -28,7 +35,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     configured = sc.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     app = sc.applicationId
     if app not in _local_roots:
@@ -43,7 +50,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/covertile/{label}-{uuid.uuid4().hex}"
-        self._tables: list[str] = []
+        self._written: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -54,6 +61,7 @@ class Workspace:
         ``split`` names a boolean column that becomes a directory, so that both halves can be
         read, and dropped, apart from each other (see :meth:`half`).
         """
+        self._written.append(name)
         writer = df.write.option("compression", "snappy")
         if split:
             writer = writer.partitionBy(split)
@@ -73,35 +81,55 @@ class Workspace:
         watched = df.observe(seen, *[m.alias(k) for k, m in metrics.items()])
         return self.write(watched, name, split), {k: v or 0 for k, v in seen.get.items()}
 
-    def bucketed(self, df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
-        """Write ``df`` bucketed and sorted by ``keys``: joins on them do not shuffle it again."""
-        table = f"covertile_{uuid.uuid4().hex}"
-        (
-            df.repartition(buckets, *keys)
-            .write.bucketBy(buckets, *keys)
-            .sortBy(*keys)
-            .option("path", self.path(name))
-            .saveAsTable(table)
-        )
-        self._tables.append(table)
-        return self.spark.table(table)
-
-    def drop_tables(self) -> None:
-        """Take the bucketed tables out of the catalog once the rounds are over."""
-        for table in self._tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        self._tables.clear()
-
     def read(self, schema, *names: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[self.path(n) for n in names])
 
     def half(self, schema, names: list[str], split: str, value: bool) -> DataFrame:
-        """The rows of the named stages whose ``split`` column had ``value`` (there must be some)."""
+        """The rows of the named stages whose ``split`` column had ``value``.
+
+        Name only stages that have such rows; without any the frame is empty.
+        """
         kept = type(schema)([f for f in schema.fields if f.name != split])
+        if not names:
+            return self.spark.createDataFrame([], kept)
         return self.read(kept, *[f"{n}/{split}={str(value).lower()}" for n in names])
 
+    def fold(self, schema, names: list[str], split: str, value: bool, name: str) -> list[str]:
+        """Write the halves of many rounds as one stage, so that results read few folders.
+
+        Returns the names that stand for ``names`` from now on.
+        """
+        if len(names) < FOLD:
+            return names
+        kept = self.half(schema, names, split, value)
+        self.write(kept.withColumn(split, F.lit(value)).select(*schema.names), name, split)
+        for n in names:
+            self.drop(f"{n}/{split}={str(value).lower()}")
+        return [name]
+
     def drop(self, name: str) -> None:
-        """Delete a stage no later stage or result reads."""
+        """Delete a stage no later stage or result reads (through the session's JVM)."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         path.getFileSystem(conf).delete(path, True)
+
+    def bytes(self, name: str) -> int:
+        """Size of the files of a stage."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        return path.getFileSystem(conf).getContentSummary(path).getLength()
+
+    def finish(self, *kept: str) -> None:
+        """Delete all stages but those the result reads."""
+        for name in self._written:
+            if name not in kept:
+                self.drop(name)
+        self._written = list(kept)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        """After a failure no result reads any stage."""
+        if kind is not None:
+            self.finish()

@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 import random
 
 import pytest
@@ -13,8 +14,8 @@ LAYOUTS = [
     {},
     {"join": "broadcast"},
     {"layout": "adjacency"},
-    {"compact_rows": 1, "bucket_rows": 1, "hot_rows": 2},
-    {"layout": "adjacency", "neighbours": 2, "compact_rows": 1, "bucket_rows": 1},
+    {"compact_rows": 1, "hot_rows": 2},
+    {"layout": "adjacency", "neighbours": 2, "compact_rows": 1},
 ]
 
 
@@ -62,7 +63,7 @@ def test_physical_choices_do_not_change_greedy(spark, options):
 
 
 @pytest.mark.parametrize(
-    "options", [{"hot_rows": 2}, {"compact_rows": 1, "bucket_rows": 1}], ids=str
+    "options", [{"hot_rows": 2}, {"compact_rows": 1}], ids=str
 )
 def test_rounds_equal_longest_path(spark, options):
     priority, edges = random_graph(2)
@@ -171,3 +172,84 @@ def test_tuples_are_coloured_without_edges(spark, n, v, t):
     for row in tuples.withColumnRenamed("tuple_id", "id").join(found, "id").collect():
         assert all(made[row["color"]][i["var"]] == i["value"] for i in row["items"])
     assert v**t <= len(made)
+
+
+@pytest.mark.parametrize("rule", [ct.color_greedy, ct.color_rounds, ct.color_repair])
+@pytest.mark.parametrize("edge", [(2, 99), (99, 2), (-1, 1)])
+def test_edges_of_unknown_vertices_raise(spark, rule, edge):
+    e = spark.createDataFrame([(1, 2), edge], "src bigint, dst bigint")
+    for v in ("id bigint", "id bigint, priority bigint"):
+        rows = [(1, 1), (2, 2)] if "," in v else [(1,), (2,)]
+        with pytest.raises(ValueError, match="not among the vertices"):
+            rule(spark.createDataFrame(rows, v), e)
+
+
+def test_uncoloured_ends_are_not_valid(spark):
+    e = spark.createDataFrame([(1, 2), (3, 4), (1, 5)], "src bigint, dst bigint")
+    c = spark.createDataFrame([(1, 1), (3, 2), (4, 2), (5, 3)], "id bigint, color int")
+    found = {tuple(r) for r in ct.validate_coloring(c, e).collect()}
+    assert found == {(1, 2, None), (3, 4, 2)}
+
+
+def test_conflicting_tuples_do_not_merge(spark):
+    items = "array<struct<var:string,value:string>>"
+    t = spark.createDataFrame([("p", [("x", "1")]), ("q", [("x", "2")])], f"tuple_id string, items {items}")
+    c = spark.createDataFrame([("p", 1), ("q", 1)], "id string, color int")
+    with pytest.raises(Exception, match="differ in"):
+        ct.rows_from_coloring(t, c, ["x"]).collect()
+
+
+@pytest.mark.parametrize("rule", [ct.color_greedy, ct.color_rounds, ct.color_repair])
+def test_no_edges(spark, rule):
+    e = spark.createDataFrame([], "src bigint, dst bigint")
+    assert rule(None, e).collect() == []
+    v = spark.createDataFrame([(4,)], "id bigint")
+    assert [tuple(r) for r in rule(v, e).collect()] == [(4, 1)]
+
+
+def test_rounds_are_folded_and_stages_deleted(spark, monkeypatch):
+    from covertile.plans import workspace
+
+    monkeypatch.setattr(workspace, "FOLD", 2)
+    made = []
+    finish = workspace.Workspace.finish
+    monkeypatch.setattr(
+        workspace.Workspace, "finish", lambda self, *kept: (made.append((self, kept)), finish(self, *kept))
+    )
+    priority, edges = random_graph(7)
+    v, e = frames(spark, priority, edges)
+    assert colors(ct.color_greedy(v, e)) == first_fit(priority, edges)
+    ws, kept = made[-1]
+    left = {p.name for p in pathlib.Path(ws.root.removeprefix("file://")).iterdir()}
+    assert kept == ("result",) and left == {"result"}
+
+
+def test_round_join_uses_all_shuffle_partitions(spark, capsys, monkeypatch):
+    """Without broadcasts the edges of a round are dealt to as many tasks as any other exchange."""
+    priority, edges = random_graph(8)
+    v, e = frames(spark, priority, edges)
+    plans = []
+    from covertile.operators import coloring
+
+    sent = coloring._sent
+    monkeypatch.setattr(coloring, "_sent", lambda ws, *a: plans.append(ws) or sent(ws, *a))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        measured = coloring.Workspace.measured
+        texts = []
+
+        def watch(self, df, name, *a, **k):
+            if name == "state2":
+                df.explain("simple")
+                texts.append(capsys.readouterr().out)
+            return measured(self, df, name, *a, **k)
+
+        monkeypatch.setattr(coloring.Workspace, "measured", watch)
+        ct.color_greedy(v, e)
+    finally:
+        for k, x in kept.items():
+            spark.conf.set(k, x)
+    joined = [line for line in texts[0].splitlines() if "Exchange hashpartitioning(id" in line]
+    assert joined and all(", 7)" in line for line in joined)

@@ -6,10 +6,7 @@ import pytest
 import covertile as ct
 from graphs import greedy_cover
 
-FILE_EXAMPLE = {
-    1: [0, 1, 2, 3, 6, 7, 8, 9, 12, 13, 14, 15, 18, 19, 20, 21],
-    2: [0, 1, 2, 3, 4, 12, 13, 14, 15, 16],
-}
+FILE_EXAMPLE = {1: [11, 12, 13, 14, 15, 16, 21, 22], 2: [11, 12, 13, 31, 32]}
 
 
 def random_pairs(seed, sets=30, elems=60, n=260):
@@ -97,7 +94,7 @@ def test_trials(spark):
 
 def test_example_of_the_text_format(spark):
     pairs = [(s, e) for s, members in FILE_EXAMPLE.items() for e in members]
-    assert picks(ct.greedy_set_cover(frame(spark, pairs))) == [(1, 1, 16), (2, 2, 2)]
+    assert picks(ct.greedy_set_cover(frame(spark, pairs))) == [(1, 1, 8), (2, 2, 2)]
 
 
 def test_bad_arguments(spark):
@@ -111,3 +108,39 @@ def test_bad_arguments(spark):
     with pytest.raises(RuntimeError):
         ct.greedy_set_cover(frame(spark, random_pairs(1)), max_rounds=1)
     assert picks(ct.greedy_set_cover(df.where("set_id > 5"))) == []
+
+
+def plain_batch(pairs, eps):
+    """The rule of batched rounds, on sets in memory."""
+    left = {}
+    for s, e in pairs:
+        left.setdefault(e, set()).add(s)
+    order = lambda s: (hashlib.md5(f"0:{s}".encode()).hexdigest(), s)
+    out, keep = [], 1 - eps
+    while left:
+        gain = {}
+        for sets in left.values():
+            for s in sets:
+                gain[s] = gain.get(s, 0) + 1
+        floor = max(gain.values()) * keep
+        able = {s for s, g in gain.items() if g >= floor}
+        first = [min(sets & able, key=order) for sets in left.values() if sets & able]
+        accepted = {s for s in able if first.count(s) >= floor * keep}
+        taken = {e: min(sets & accepted, key=order) for e, sets in left.items() if sets & accepted}
+        round_ = [(-list(taken.values()).count(s), s) for s in set(taken.values())]
+        out += [(s, -g) for g, s in sorted(round_)]
+        left = {e: sets for e, sets in left.items() if e not in taken}
+    return [(i + 1, s, g) for i, (s, g) in enumerate(out)]
+
+
+@pytest.mark.parametrize("batch", [0.2, 0.5])
+def test_batched_picks_follow_the_rule(spark, batch):
+    pairs = random_pairs(8)
+    assert picks(ct.greedy_set_cover(frame(spark, pairs), batch=batch)) == plain_batch(pairs, batch)
+
+
+@pytest.mark.parametrize("batch", [None, 0.5])
+def test_null_pairs_and_no_pairs(spark, batch):
+    df = spark.createDataFrame([(None, 1), (2, 3), (4, None)], "set_id bigint, elem_id bigint")
+    assert picks(ct.greedy_set_cover(df, batch=batch)) == [(1, 2, 1)]
+    assert picks(ct.greedy_set_cover(df.where("set_id IS NULL"), batch=batch)) == []
