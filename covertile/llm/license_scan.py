@@ -31,6 +31,7 @@ THRESHOLD = 0.8
 COLLIDES = 0.9999
 MAX_HASHES = 64
 BLOCK_WORDS = 500_000
+CHUNK = 1 << 14
 
 # Notices in common use.
 NOTICES = {
@@ -91,37 +92,38 @@ def bands(similarity: float, collides: float = COLLIDES) -> tuple[int, int]:
     return best
 
 
-def permuted(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th permutation of 64-bit hashes."""
-    odd = np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1)
-    x = (h ^ np.uint64((0xD6E8FEB86659FD93 * (k + 1)) % (1 << 64))) * odd
-    return x ^ (x >> np.uint64(32))
+_SEED = np.array([(0xD6E8FEB86659FD93 * (k + 1)) % (1 << 64) for k in range(1024)], np.uint64)
+_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(1024)], np.uint64)
+
+
+def permuted(h: np.ndarray, n: int) -> np.ndarray:
+    """The first n permutations of 64-bit hashes, one in each row."""
+    x = h[None, :] ^ _SEED[:n, None]
+    x *= _ODD[:n, None]
+    x ^= x >> np.uint64(32)
+    return x
 
 
 class _Class:
     def __init__(self, w: int, members: list[int], hashes: list[np.ndarray], threshold: float):
         self.w, self.members = w, members
         self.n, self.rows = bands(least_jaccard(w, threshold))
-        # Per hash function: the template minima, and a bitmap of their high bits.
-        self.minima = np.array(
-            [[permuted(hashes[t], k).min() for t in members] for k in range(self.n * self.rows)], np.uint64
-        )
-        self.map = np.zeros((len(self.minima), 1 << 16), bool)
-        for k, row in enumerate(self.minima):
-            self.map[k, row >> np.uint64(48)] = True
-
-    def candidates(self, mins: np.ndarray) -> set[tuple[int, int]]:
-        """(window, template) that share a band; ``mins`` holds window minima by hash function."""
+        self.hashes = self.n * self.rows
+        # Template minima by hash function, and a bitmap of their high bits.
+        self.minima = np.stack([permuted(hashes[t], self.hashes).min(axis=1) for t in members], axis=1)
+        self.map = np.zeros((self.hashes, 1 << 16), bool)
+        self.map[np.arange(self.hashes)[:, None], self.minima >> np.uint64(48)] = True
+
+    def candidates(self, blocks: np.ndarray) -> set[tuple[int, int]]:
+        """(window, template) that share a band; ``blocks`` holds block minima by hash function."""
+        mins = np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks
+        near = self.map[np.arange(self.hashes)[:, None], mins >> np.uint64(48)]
+        near = near.reshape(self.n, self.rows, -1).all(axis=1)
         out = set()
-        for band in range(self.n):
-            own = range(band * self.rows, (band + 1) * self.rows)
-            near = np.ones(mins.shape[1], bool)
-            for k in own:
-                near &= self.map[k, mins[k] >> np.uint64(48)]
-            for window in np.flatnonzero(near).tolist():
-                for i, t in enumerate(self.members):
-                    if all(mins[k, window] == self.minima[k, i] for k in own):
-                        out.add((window, t))
+        for band, window in zip(*(x.tolist() for x in np.nonzero(near))):
+            own = slice(band * self.rows, (band + 1) * self.rows)
+            same = (self.minima[own] == mins[own, window][:, None]).all(axis=0)
+            out.update((window, self.members[i]) for i in np.flatnonzero(same).tolist())
         return out
 
 
@@ -154,17 +156,20 @@ class Templates:
             return []
         classes = self._index()
         h = gram_hashes(WORD_HASHES.of(words), SHINGLE)
-        minima = {c.w: [] for c in classes}
-        with np.errstate(over="ignore"):
-            for k in range(max(len(c.minima) for c in classes)):
-                x = permuted(h, k)
-                for c in classes:
-                    if k < len(c.minima):
-                        low = np.minimum.reduceat(x, np.arange(0, n, c.w)) if c.w > 1 else x
-                        minima[c.w].append(np.minimum(low[:-1], low[1:]) if len(low) > 1 else low)
+        # In chunks that are whole numbers of blocks of every class, so memory has a bound.
+        chunk = max(CHUNK, classes[-1].w)
+        most = max(c.hashes for c in classes)
+        minima: dict[int, list[np.ndarray]] = {c.w: [] for c in classes}
+        for at in range(0, n, chunk):
+            x = permuted(h[at : at + chunk], most)
+            for c in classes:
+                own = x[: c.hashes]
+                if c.w > 1:
+                    own = np.minimum.reduceat(own, np.arange(0, x.shape[1], c.w), axis=1)
+                minima[c.w].append(own)
         found: dict[int, list[tuple[int, int, int]]] = {}
         for c in classes:
-            for window, t in c.candidates(np.stack(minima[c.w])):
+            for window, t in c.candidates(np.concatenate(minima[c.w], axis=1)):
                 _, shingles = self.named[t]
                 start = window * c.w
                 places = {}
