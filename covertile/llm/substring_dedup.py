@@ -15,10 +15,11 @@ through the automata of all others would be quadratic, so anchors route it:
    statistics give its maximal spans of ``LENGTH`` words or more, and it is then added to the
    automaton as reference. Spans are removed.
 
-Hot anchors. Anchors that a hashed sample shows to be frequent are met by (anchor, segment), which keeps
-equal segments together; the sample only chooses the plan. Anchors with too many contexts for a
-shard are dealt by context, and windows that are new in their shard then meet by a 128-bit hash of
-their words, of which all but the first go. So neither needs an anchor in one task.
+Hot anchors. Anchors that a hashed sample shows to be frequent are met by (anchor, segment, salt of the
+document), so a segment comes out once for each salt, and its shard finds the repeats among those;
+the sample only chooses the plan. Anchors with too many contexts for a shard are dealt by context,
+and windows that are new in their shard then meet by a 128-bit hash of their words, of which all but
+the first go. So neither needs an anchor in one task.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ GRAM = 5
 SHARD = 2_000
 HOT_ROWS = 200_000
 SAMPLE = 64
-LISTED = 100_000
+SALTS = 64
 
 _BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _INVERSE = np.array([pow(int(b), -1, 1 << 64) for b in _BASE], np.uint64)
@@ -82,33 +83,37 @@ def segments(hashes: np.ndarray):
     return grams[at], content, first, count
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: (id, key, text) -> a row for each segment."""
-    for batch in batches:
-        out, held = [], 0
-        for doc, key, text in zip(*(c for c in batch.columns)):
-            words = words_of(text.as_py())
-            if len(words) < LENGTH:
-                continue
-            anchor, content, first, count = segments(WORD_HASHES.of(words))
-            n = len(anchor)
-            out.append((anchor, content, np.full(n, doc.as_py()), np.full(n, key.as_py()), first, count))
-            held += n
-            if held > 1 << 17:
-                yield _rows(out)
-                out, held = [], 0
-        if out:
-            yield _rows(out)
+def _segment_rows(hot: np.ndarray):
+    """For mapInArrow: (id, key, text) -> a row for each segment; ``hot`` are anchors, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, held = [], 0
+            for doc, key, text in zip(*(c for c in batch.columns)):
+                words = words_of(text.as_py())
+                if len(words) < LENGTH:
+                    continue
+                anchor, content, first, count = segments(WORD_HASHES.of(words))
+                n = len(anchor)
+                out.append((anchor, content, np.full(n, doc.as_py()), np.full(n, key.as_py()), first, count))
+                held += n
+                if held > 1 << 17:
+                    yield rows(out)
+                    out, held = [], 0
+            if out:
+                yield rows(out)
 
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        a, s, d, k, f, n = (np.concatenate(c) for c in zip(*out))
+        a = a.view(np.int64)
+        arrays = [a, s.view(np.int64), d, k, f.astype(np.int32), n.astype(np.int32), np.isin(a, hot)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], _NAMES)
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    a, s, d, k, f, n = (np.concatenate(c) for c in zip(*out))
-    arrays = [a.view(np.int64), s.view(np.int64), d, k, f.astype(np.int32), n.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], _NAMES)
+    return run
 
 
-_NAMES = ["anchor", "segment", "id", "key", "start", "n"]
-_SEGMENT = "anchor bigint, segment bigint, id bigint, key bigint, start int, n int"
+_NAMES = ["anchor", "segment", "id", "key", "start", "n", "hot"]
+_SEGMENT = "anchor bigint, segment bigint, id bigint, key bigint, start int, n int, hot boolean"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +152,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out:
             types = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.bool_(), pa.int32()]
             columns = [pa.array(c, t) for c, t in zip(zip(*out), types)]
-            yield pa.RecordBatch.from_arrays(columns, [*_NAMES, "hot", "kind"])
+            yield pa.RecordBatch.from_arrays(columns, [*_NAMES, "kind"])
 
 
 class SuffixAutomaton:
@@ -302,21 +307,17 @@ def drop_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         F.col(text).alias("text"),
     )
     source = rows.select("id", "key", "text")
-    found = source.mapInArrow(_segment_rows, _SEGMENT)
-    drawn = source.where(F.pmod("key", F.lit(SAMPLE)) == 0).mapInArrow(_segment_rows, _SEGMENT)
-    frequent = drawn.groupBy("anchor").count().where(F.col("count") * SAMPLE > HOT_ROWS).select("anchor")
-    frequent, seen = ws.measured(frequent.withColumn("hot", F.lit(True)), "frequent")
-    if seen["rows"]:
-        # At most all segments / HOT_ROWS anchors.
-        few = F.broadcast(frequent) if seen["rows"] <= LISTED else frequent
-        found = found.join(few, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    else:
-        found = found.withColumn("hot", F.lit(False))
-    salt = F.when(F.col("hot"), F.col("segment")).otherwise(0)
+    drawn = source.where(F.pmod("key", F.lit(SAMPLE)) == 0)
+    drawn = drawn.mapInArrow(_segment_rows(np.empty(0, np.int64)), _SEGMENT)
+    # At most all segments / HOT_ROWS numbers.
+    frequent = drawn.groupBy("anchor").count().where(F.col("count") * SAMPLE > HOT_ROWS).collect()
+    hot = np.sort(np.array([r.anchor for r in frequent], np.int64))
+    found = source.mapInArrow(_segment_rows(hot), _SEGMENT)
+    salt = F.when(F.col("hot"), F.xxhash64("segment", F.pmod("key", F.lit(SALTS)))).otherwise(0)
     met = (
         found.repartition("anchor", salt)
         .sortWithinPartitions("anchor", "id", "key", "start")
-        .mapInArrow(_meet, _SEGMENT + ", hot boolean, kind int")
+        .mapInArrow(_meet, _SEGMENT + ", kind int")
     )
     met, seen = ws.measured(met, "met", contexts=F.sum("kind"))
     repeats = met.where("kind = 0").select("id", "key", "start", F.expr("shiftleft(1, n) - 1").alias("mask"))

@@ -55,6 +55,7 @@ def test_equals_plain(spark, rows, monkeypatch, forced):
         monkeypatch.setattr(sd, "HOT_ROWS", 20)
         monkeypatch.setattr(sd, "SAMPLE", 2)
         monkeypatch.setattr(sd, "SHARD", 6)
+        monkeypatch.setattr(sd, "SALTS", 3)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
     docs = docs.withColumn("key", F.lit("clash")).withColumn("start", F.lit(1)).withColumn("id", F.lit("x"))
     got = sd.drop_repeated_spans(docs).collect()
