@@ -68,6 +68,11 @@ def _priority_of(seed, priority: Callable[[Column], Column] | None, by: list[str
     return priority or (lambda id_: hash_priority(id_, seed))
 
 
+def _shared(edges: DataFrame, by: list[str]) -> list[str]:
+    """Key columns the edges lack: every edge then belongs to all values the vertices have."""
+    return [c for c in by if c not in edges.columns]
+
+
 def _with_vertices(ws, vertices, edges, by, seed, priority):
     """Vertices with a priority, and the priorities of both edge ends as ``ps`` and ``pd``.
 
@@ -116,31 +121,65 @@ def _scheduled(
     if layout not in ("edges", "adjacency"):
         raise ValueError(f"layout must be 'edges' or 'adjacency', got {layout!r}")
     check_at_least("max_rounds", max_rounds, 1)
+    by = list(by)
+    shared = _shared(edges, by)
+    rule = (join, layout, first_fit, by, shared, max_rounds, hot_rows, neighbours, compact_rows)
     with Workspace(edges.sparkSession, "coloring") as ws:
-        rule = (join, layout, first_fit, list(by), max_rounds, hot_rows, neighbours, compact_rows)
-        vertices, edges = _with_vertices(ws, vertices, edges, list(by), seed, priority)
-        return _fix_in_rounds(ws, vertices, edges, *rule)
+        if not shared:
+            vertices, edges = _with_vertices(ws, vertices, edges, by, seed, priority)
+            return _fix_in_rounds(ws, vertices, edges, None, *rule)
+        if vertices is None or "priority" in vertices.columns:
+            raise ValueError(f"edges without {shared} need vertices whose priority is computed")
+        own = [c for c in by if c not in shared]
+        _, edges = _with_vertices(ws, vertices.select(*own, "id").distinct(), edges, own, None, F.hash)
+        rank = _priority_of(seed, priority, by)
+        ahead = precedes(rank(F.col("id")), F.col("id"), rank(F.col("dst")), F.col("dst"))
+        return _fix_in_rounds(ws, vertices, edges, ahead, *rule)
 
 
 def _fix_in_rounds(
-    ws, vertices, edges, join, layout, first_fit, by, max_rounds, hot_rows, neighbours, compact_rows
+    ws,
+    vertices,
+    edges,
+    ahead,
+    join,
+    layout,
+    first_fit,
+    by,
+    shared,
+    max_rounds,
+    hot_rows,
+    neighbours,
+    compact_rows,
 ) -> DataFrame:
+    """The rounds. Edges that several keys share are stored once, in both directions, and their
+    direction under a key, ``ahead``, is worked out when they meet a vertex of it.
+    """
     key = [*by, "id"]
-    up = precedes(F.col("ps"), F.col("src"), F.col("pd"), F.col("dst"))
-    down, seen = ws.measured(
-        edges.select(
+    own = [c for c in by if c not in shared]
+    if shared:
+        directed = both_ways(edges.select(*own, "src", "dst"), own).withColumnRenamed("src", "id")
+    else:
+        up = precedes(F.col("ps"), F.col("src"), F.col("pd"), F.col("dst"))
+        directed = edges.select(
             *by,
             F.when(up, F.col("src")).otherwise(F.col("dst")).alias("id"),
             F.when(up, F.col("dst")).otherwise(F.col("src")).alias("dst"),
-        ),
-        "down",
-    )
+        )
+    down, seen = ws.measured(directed, "down")
     limit = hot_rows if layout == "edges" else neighbours
-    lanes = Lanes(ws, "src", down, key, "dst", limit, seen["rows"])
+    lanes = Lanes(ws, "src", down, [*own, "id"], "dst", limit, seen["rows"])
     stored = _store(ws, down, lanes, layout, "stored")
 
+    def meeting(sent: DataFrame) -> DataFrame:
+        met = stored.join(sent, lanes.on)
+        if layout == "adjacency":
+            met = met.withColumn("dst", F.explode("nbrs"))
+        return met if ahead is None else met.where(ahead)
+
     # State of a vertex: smaller neighbours still open, colours taken around it, own colour.
-    waits = down.groupBy(*by, F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("open"))
+    smaller = meeting(lanes.copy(vertices.select(*key).distinct())) if shared else down
+    waits = smaller.groupBy(*by, F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("open"))
     taken = F.array().cast("array<int>")
     state = (
         vertices.select(*key)
@@ -171,6 +210,8 @@ def _fix_in_rounds(
             ws.drop(f"state{number - 1}/fixed=false")
             ws.drop(f"sent{number - 1}")
         left = seen["rows"] - seen["fixed"]
+        if shared and number == 1:
+            kept_edges = seen["edges"]
         if seen["fixed"]:
             names = ws.fold(written.schema, [*names, now], "fixed", True, f"fixed{number}")
         if not left:
@@ -183,13 +224,11 @@ def _fix_in_rounds(
         waiting = ws.half(written.schema, [now], "fixed", False)
         if kept_edges >= compact_rows and 2 * seen["edges"] < kept_edges:
             # Only edges towards waiting vertices are used from here on.
-            ends = waiting.select(*by, F.col("id").alias("dst"))
-            down = ws.write(down.join(ends, [*by, "dst"], "left_semi"), f"down{number}")
+            ends = waiting.select(*own, F.col("id").alias("dst"))
+            down = ws.write(down.join(ends, [*own, "dst"], "left_semi"), f"down{number}")
             kept_edges = seen["edges"]
             stored = _store(ws, down, lanes, layout, f"stored{number}")
-        met = stored.join(_sent(ws, lanes, fresh.select(*key, "color"), join, number), lanes.on)
-        if layout == "adjacency":
-            met = met.withColumn("dst", F.explode("nbrs"))
+        met = meeting(_sent(ws, lanes, fresh.select(*key, "color"), join, number))
         told = [F.count(F.lit(1)).alias("done")]
         if first_fit:
             told.append(F.collect_set("color").alias("news"))

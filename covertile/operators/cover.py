@@ -51,6 +51,7 @@ def greedy_set_cover(
     hot_rows: int = HOT_ROWS,
     max_rounds: int = 100_000,
     compact_rows: int = COMPACT_ROWS,
+    copies: tuple[str, int] | None = None,
 ) -> DataFrame:
     """``(step, set_id, gain)``: sets that together contain every element of ``pairs``.
 
@@ -58,33 +59,47 @@ def greedy_set_cover(
     takes in each round all sets within a factor ``1 - eps`` of the best one that still bring at
     least ``1 - eps`` of that bound when elements go to the first set in hash order: far fewer
     rounds, and every pick gains at least ``(1 - eps)^2`` of the best gain of its round. Gains
-    sum to the number of elements either way. ``by`` runs independent problems side by side.
+    sum to the number of elements either way. ``by`` runs independent problems side by side; those
+    that share all pairs and differ in their ties only are asked for by ``copies=(name, n)``: the
+    column ``name`` of ``by`` then numbers them from 1 to n, and the pairs are stored once.
     A pair without a set or without an element names nothing and is left out.
     """
     if batch is not None and not 0 < batch < 1:
         raise ValueError(f"batch must lie between 0 and 1, got {batch}")
     rule = _tie(ties, seed, list(by))
     with Workspace(pairs.sparkSession, "cover") as ws:
-        return _cover_in_rounds(ws, pairs, batch, rule, list(by), hot_rows, max_rounds, compact_rows)
+        return _cover_in_rounds(
+            ws, pairs, batch, rule, list(by), copies, hot_rows, max_rounds, compact_rows
+        )
+
+
+def _cover_in_rounds(
+    ws, pairs, batch, rule, by, copies, hot_rows, max_rounds, compact_rows
+) -> DataFrame:
+    shared = [copies[0]] if copies else []
 
+    def copied(df: DataFrame) -> DataFrame:
+        return df.withColumn(copies[0], F.explode(F.sequence(F.lit(1), F.lit(copies[1]))))
 
-def _cover_in_rounds(ws, pairs, batch, rule, by, hot_rows, max_rounds, compact_rows) -> DataFrame:
+    own = [c for c in by if c not in shared]
     named = pairs.where("set_id IS NOT NULL AND elem_id IS NOT NULL")
-    base, seen = ws.measured(named.select(*by, "set_id", "elem_id").distinct(), "pairs")
-    by_set = Lanes(ws, "set", base, [*by, "set_id"], "elem_id", hot_rows, seen["rows"])
-    by_elem = Lanes(ws, "elem", base, [*by, "elem_id"], "set_id", hot_rows, seen["rows"])
+    base, seen = ws.measured(named.select(*own, "set_id", "elem_id").distinct(), "pairs")
+    by_set = Lanes(ws, "set", base, [*own, "set_id"], "elem_id", hot_rows, seen["rows"])
+    by_elem = Lanes(ws, "elem", base, [*own, "elem_id"], "set_id", hot_rows, seen["rows"])
     if by_set.count or by_elem.count:
         base = ws.write(by_elem.tag(by_set.tag(base)), "pairs_in_lanes")
 
     choose = _local_winners if batch is None else _batch_winners
     left, stored, rounds, to_cover, number = base, seen["rows"], [], None, -1
+    if shared and stored:
+        left = copied(base)
     while stored:
         number += 1
         if number >= max_rounds:
             raise RuntimeError(f"cover not finished after {max_rounds} rounds")
         # One row per uncovered element: the set it goes to, and whether that set is picked now.
         best, seen = ws.measured(
-            choose(left, by, by_set, rule, batch).withColumn("round", F.lit(number)),
+            choose(left, by, by_set, [*by_set.on, *shared], rule, batch).withColumn("round", F.lit(number)),
             f"best{number}",
             split="won",
             won=F.count_if("won"),
@@ -98,12 +113,19 @@ def _cover_in_rounds(ws, pairs, batch, rule, by, hot_rows, max_rounds, compact_r
             break
         to_cover = to_cover or seen["rows"]
         still = ws.half(best.schema, [f"best{number}"], "won", False).select(*by, "elem_id")
-        left = base.join(by_elem.copy(still), by_elem.on, "left_semi")
+        left = base.join(by_elem.copy(still), by_elem.on, "inner" if shared else "left_semi")
         if stored >= compact_rows and 2 * uncovered_now < to_cover:
             # Half the elements are covered: go on from the pairs that are left.
-            base, seen = ws.measured(left, f"pairs{number}")
-            left, stored, to_cover = base, seen["rows"], uncovered_now
+            kept = left
+            if shared:
+                ends = still.select(*own, "elem_id").distinct()
+                kept = base.join(by_elem.copy(ends), by_elem.on, "left_semi")
+            base, seen = ws.measured(kept, f"pairs{number}")
+            stored, to_cover = seen["rows"], uncovered_now
+            left = base.join(by_elem.copy(still), by_elem.on) if shared else base
     if not stored:
+        if shared:
+            base = copied(base)
         return base.select(
             *by, F.lit(0).alias("step"), "set_id", F.lit(0).cast("bigint").alias("gain")
         )
@@ -132,11 +154,11 @@ def _gains(left: DataFrame, key: list[str], rule: Column) -> DataFrame:
     return counts.withColumn("tie", rule)
 
 
-def _local_winners(left, by, by_set, rule, batch) -> DataFrame:
+def _local_winners(left, by, by_set, on, rule, batch) -> DataFrame:
     """Per uncovered element its best set; ``won`` if that set beats all its rivals."""
     key = [*by, "set_id"]
     best = (
-        left.join(by_set.copy(_gains(left, key, rule)), by_set.on)
+        left.join(by_set.copy(_gains(left, key, rule)), on)
         .groupBy(*by, "elem_id")
         .agg(F.min(F.struct((-F.col("gain")).alias("less"), "tie", "set_id")).alias("top"))
         .select(*by, "elem_id", "top.less", "top.tie", "top.set_id")
@@ -153,7 +175,7 @@ def _local_winners(left, by, by_set, rule, batch) -> DataFrame:
     )
 
 
-def _batch_winners(left, by, by_set, rule, batch) -> DataFrame:
+def _batch_winners(left, by, by_set, on, rule, batch) -> DataFrame:
     """Per uncovered element the first picked set that has it; ``won`` if there is one."""
     key = [*by, "set_id"]
     keep = 1.0 - batch
@@ -172,7 +194,7 @@ def _batch_winners(left, by, by_set, rule, batch) -> DataFrame:
             .select(*by, "elem_id", "top.set_id", "top.tie", "top.floor")
         )
 
-    rivals = left.join(by_set.copy(able.drop("gain", "_all")), by_set.on)
+    rivals = left.join(by_set.copy(able.drop("gain", "_all")), on)
     accepted = (
         first_of(rivals, F.lit(True))
         .groupBy(*key)
@@ -184,7 +206,7 @@ def _batch_winners(left, by, by_set, rule, batch) -> DataFrame:
         .where(F.col("n") >= F.col("floor") * F.lit(keep))
         .select(*key, "floor", "tie")
     )
-    taken = left.join(by_set.copy(accepted), by_set.on, "left")
+    taken = left.join(by_set.copy(accepted), on, "left")
     return first_of(taken, F.col("floor").isNotNull()).select(
         *by, "elem_id", "tie", "set_id", F.col("set_id").isNotNull().alias("won")
     )

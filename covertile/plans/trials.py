@@ -33,6 +33,11 @@ def _repeat(df: DataFrame, trials: int) -> DataFrame:
     return df.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
 
 
+def _edges_of_trials(edges: DataFrame, trials: int, algo: str) -> DataFrame:
+    """Trials share the stored edges; only repair keeps what it knows of a pair by trial."""
+    return _repeat(edges, trials) if algo == "color_repair" else edges
+
+
 def coloring_trials(
     vertices: DataFrame | None,
     edges: DataFrame,
@@ -46,7 +51,7 @@ def coloring_trials(
     vertices = vertices_of(edges) if vertices is None else vertices
     return COLORINGS[algo](
         _repeat(vertices.select("id"), trials),
-        _repeat(edges.select("src", "dst"), trials),
+        _edges_of_trials(edges.select("src", "dst"), trials, algo),
         by=["trial"],
         priority=lambda id_: hash_priority(id_, seed, F.col("trial")),
         **options,
@@ -57,7 +62,8 @@ def cover_trials(pairs: DataFrame, trials: int, seed: int = 0, **options) -> Dat
     """``(trial, step, set_id, gain)``: ``trials`` covers with independent tie-breaking."""
     check_at_least("trials", trials, 1)
     return greedy_set_cover(
-        _repeat(pairs.select("set_id", "elem_id"), trials),
+        pairs.select("set_id", "elem_id"),
+        copies=("trial", trials),
         by=["trial"],
         ties="hash",
         seed=seed,
@@ -86,14 +92,16 @@ def _run(
     began = time.monotonic()
     key = ["config", "trial"]
     if algo == "cover":
-        solved = greedy_set_cover(_repeat(tuples, trials), by=key, ties="hash", seed=seed)
+        solved = greedy_set_cover(
+            tuples, copies=("trial", trials), by=key, ties="hash", seed=seed
+        )
         sizes = solved.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
     else:
         tuples = ws.write(tuples, "tuples")
         edges = conflict_graph(tuples, by=["config"])
         solved = COLORINGS[algo](
             _repeat(tuples.select("config", F.col("tuple_id").alias("id")), trials),
-            _repeat(edges, trials),
+            _edges_of_trials(edges, trials, algo),
             by=key,
             priority=lambda id_: hash_priority(id_, seed, F.col("trial")),
         )

@@ -253,3 +253,15 @@ def test_round_join_uses_all_shuffle_partitions(spark, capsys, monkeypatch):
             spark.conf.set(k, x)
     joined = [line for line in texts[0].splitlines() if "Exchange hashpartitioning(id" in line]
     assert joined and all(", 7)" in line for line in joined)
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 2, "compact_rows": 1}, {"layout": "adjacency", "neighbours": 2}], ids=str)
+def test_trials_share_stored_edges(spark, options):
+    _, edges = random_graph(9)
+    e = spark.createDataFrame(edges, "src bigint, dst bigint")
+    ids = {v for edge in edges for v in edge}
+    v = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    got = ct.coloring_trials(v, e, trials=3, seed=5, **options).collect()
+    for trial in (1, 2, 3):
+        priority = {i: hashlib.md5(f"5:{trial}:{i}".encode()).hexdigest() for i in ids}
+        assert {r["id"]: r["color"] for r in got if r["trial"] == trial} == first_fit(priority, edges)

@@ -144,3 +144,14 @@ def test_null_pairs_and_no_pairs(spark, batch):
     df = spark.createDataFrame([(None, 1), (2, 3), (4, None)], "set_id bigint, elem_id bigint")
     assert picks(ct.greedy_set_cover(df, batch=batch)) == [(1, 2, 1)]
     assert picks(ct.greedy_set_cover(df.where("set_id IS NULL"), batch=batch)) == []
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 5, "compact_rows": 1}], ids=str)
+def test_trials_share_stored_pairs(spark, options):
+    pairs = random_pairs(6)
+    df = frame(spark, pairs)
+    got = ct.cover_trials(df, trials=3, seed=4, **options).collect()
+    for trial in (1, 2, 3):
+        md5 = lambda s, t=trial: hashlib.md5(f"4:{t}:{s}".encode()).hexdigest()
+        own = sorted((r["step"], r["set_id"], r["gain"]) for r in got if r["trial"] == trial)
+        assert own == greedy_cover(pairs, md5)
