@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each reading what the last one wrote.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows it is given. All but the last return
-the columns of their input.
+the columns of their input. ``docs`` is a plain scan: what the last stage wrote, read again.
 
 Null and empty texts are clean and have no words: they pass the filters as one group of
 near-duplicates, and the mix takes nothing of them. Repeated rows are near-duplicates of each other.
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of near-duplicates stays."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, scan=True)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them."""
-    return mixing.mixed_rows(docs)
+    return mixing.mixed_rows(docs, scan=True)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType
 
 from covertile.plans.workspace import Workspace
 
-from .rows import numbered
+from .rows import identified
 from .sharding import text_key
 
 WEIGHTS = (3, 1, 2)
@@ -310,13 +310,16 @@ def mix(
     )
 
 
-def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def mixed_rows(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scan: bool = False, **options
+) -> DataFrame:
     """The rows of the mix: each row of ``docs`` as often as the mix takes it, columns unchanged.
 
-    Rows the mix leaves out go, those without words included.
+    Rows the mix leaves out go, those without words included. ``scan``: see
+    :func:`covertile.llm.rows.identified`.
     """
     times = f"_times_{uuid.uuid4().hex}"
-    marked, place = numbered(Workspace(docs.sparkSession, "mixed"), docs)
+    marked, place = identified(Workspace(docs.sparkSession, "mixed"), docs, scan)
     taken = mix(marked, doc_id, text, keep={place: F.col(place)}, whole=True, **options)
     taken = taken.where("taken > 0").select(place, (F.col("taken") / F.col("size")).cast("int").alias(times))
     return (

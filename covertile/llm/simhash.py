@@ -34,7 +34,7 @@ from pyspark.sql.types import LongType
 from covertile.plans.workspace import Workspace
 
 from .components import components
-from .rows import numbered
+from .rows import identified
 from .texts import words_of
 
 MAX_BITS = 4
@@ -312,14 +312,17 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scan: bool = False, **options
+) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: the smallest id of each group stays.
 
     Repeated rows of that id count as copies of each other, so one of them stays; null is smaller
-    than any id. Columns are those of ``docs``, whatever their names.
+    than any id. Columns are those of ``docs``, whatever their names. ``scan``: see
+    :func:`covertile.llm.rows.identified`.
     """
     inner = "_place"
-    marked, place = numbered(Workspace(docs.sparkSession, "near_dedup"), docs)
+    marked, place = identified(Workspace(docs.sparkSession, "near_dedup"), docs, scan)
     groups = near_duplicates(
         marked.select(F.struct(F.col(doc_id).alias("id"), F.col(place).alias(inner)).alias("doc_id"), F.col(text).alias("text")),
         **options,

@@ -96,3 +96,10 @@ def test_empty_tables(spark, tables, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tables[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_are_told_apart_with_and_without_a_scan(spark, tables):
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    for rule in (corpus_pipeline.simhash.keep_one, mixing.mixed_rows):
+        kept = [Counter(map(tuple, rule(docs, scan=scan).collect())) for scan in (True, False)]
+        assert kept[0] == kept[1] and len(kept[0]) > 50
