@@ -127,8 +127,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = batch.column(0).to_numpy()
         same = np.zeros(len(a) + 1, bool)
         same[1:-1] = a[1:] == a[:-1]
-        # Rows alone with their anchor need no look, but the last may have others to come.
-        look = same[:-1] | same[1:]
+        # Rows alone with their anchor need no look, but the last may have others to come, and those
+        # of a hot anchor have others elsewhere.
+        look = same[:-1] | same[1:] | batch.column(6).to_numpy(zero_copy_only=False)
         if len(a):
             look[0] |= a[0] == anchor
             look[-1] = True

@@ -63,6 +63,29 @@ def test_equals_plain(spark, rows, monkeypatch, forced):
     assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def test_rare_contexts_of_a_hot_anchor(spark, monkeypatch):
+    """Rows of a hot anchor that lie alone in their partition, between rows of other anchors."""
+    monkeypatch.setattr(sd, "HOT_ROWS", 30)
+    monkeypatch.setattr(sd, "SAMPLE", 1)
+    monkeypatch.setattr(sd, "SALTS", 2)
+    rng = random.Random(29)
+    passage = [f"p{i}" for i in range(20)]
+    rare = [(d, " ".join([f"head{d}", *passage, f"tail{d}"])) for d in range(10)]
+    common = [(100 + d, " ".join(passage)) for d in range(60)]
+    others = [(200 + d, " ".join(f"o{rng.randrange(10**6)}" for _ in range(60))) for d in range(60)]
+    rows = rare + common + others
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = sd.drop_repeated_spans(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r) for r in got) == sorted(plain(rows))
+
+
 def test_matching_statistics():
     rng = random.Random(2)
     automaton, added = sd.SuffixAutomaton(), []
