@@ -120,9 +120,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over rows sorted by (anchor, id, key, start): repeats and contexts.
 
     Adds ``kind``: 0 for a segment whose words were met before, 1 for the first of each of several
-    contexts. Anchors met once give nothing; memory holds the contexts of one anchor.
+    contexts. Anchors met once give nothing; memory holds the contexts of one anchor. A segment of the
+    same place as the one before is that of an equal row, which is judged as a whole, and is passed over.
     """
-    anchor, seen, waiting = None, set(), None
+    anchor, seen, waiting, place = None, set(), None, None
     for batch in batches:
         a = batch.column(0).to_numpy()
         same = np.zeros(len(a) + 1, bool)
@@ -137,6 +138,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(zip(*(c.take(pa.array(index)).to_pylist() for c in batch.columns)))
         out: list[tuple] = []
         for row in rows:
+            if row[0] == anchor and row[2:5] == place:
+                continue
+            place = row[2:5]
             if row[0] != anchor:
                 anchor, seen, waiting = row[0], {row[1]}, row
                 if row[6]:  # other contexts of a hot anchor are elsewhere
@@ -334,7 +338,8 @@ def drop_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         by = F.when(F.col("hot"), F.xxhash64("anchor", "segment")).otherwise(F.xxhash64("anchor"))
         dealt = dealt.withColumn("shard", F.pmod(by, F.lit(shards)))
         listed = dealt.groupBy("id", "key").agg(F.collect_list(F.struct("shard", "hot", "start", "n")).alias("contexts"))
-        words = source.join(listed, ["id", "key"]).mapInArrow(_context_words, _WORDS)
+        # The contexts of equal rows go to the shards once.
+        words = source.join(listed, ["id", "key"]).dropDuplicates(["id", "key"]).mapInArrow(_context_words, _WORDS)
         judged = ws.write(words.groupBy("shard").applyInPandas(_shard, _FOUND), "judged")
         parts.append(judged.where("mask <> 0").select("id", "key", "start", "mask"))
         fresh = judged.where("new IS NOT NULL").select("id", "key", "start", F.inline("new"))

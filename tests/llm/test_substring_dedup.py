@@ -86,6 +86,24 @@ def test_rare_contexts_of_a_hot_anchor(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == sorted(plain(rows))
 
 
+@pytest.mark.parametrize("hot_rows", [20, 200_000])
+def test_equal_rows_leave_one(spark, monkeypatch, hot_rows):
+    """Rows doubled in id and text: alone, with a context met elsewhere, repeated earlier, null ids."""
+    monkeypatch.setattr(sd, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(sd, "SAMPLE", 1)
+    monkeypatch.setattr(sd, "SHARD", 3)
+    rng = random.Random(31)
+    text = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    shared, whole = text(40), " ".join(text(70))
+    rows = [(1, " ".join(text(90)))] * 2 + [(2, " ".join(text(5) + shared + text(30)))] * 3
+    rows += [(3, " ".join(text(9) + shared + text(4)))] * 2 + [(4, whole), (5, whole), (5, whole)]
+    rows += [(6, " ".join(["a", "b"] * 30))] * 40 + [(None, " ".join(text(50)))] * 2 + [(7, "few words")] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = sd.drop_repeated_spans(docs).collect()
+    want = plain(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)))
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_matching_statistics():
     rng = random.Random(2)
     automaton, added = sd.SuffixAutomaton(), []
