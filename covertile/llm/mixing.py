@@ -9,9 +9,9 @@ the eighth, ...). The flow that fills the quotas at least cost takes words that
 it repeats shared ones. As only the arcs into patterns cost anything and their costs rise, the least
 cost is reached by opening the arcs by price and taking the maximum flow each time.
 
-The driver sees sources and patterns, not documents. ``PATTERNS`` bounds the arcs of patterns with
-several sources that take part in the flow; rows of rarer patterns are supply of their own source
-alone, so they are mixed like all others and only their repetition is not weighed. The flow fixes
+The driver sees sources and patterns, not documents. Every pattern takes part in the flow, so the
+driver's memory grows with the arcs, the occupied (pattern, source) pairs. ``PATTERNS`` chooses only
+how the shares get back to the texts: broadcast up to so many arcs, by shuffle above. The flow fixes
 what share of each (pattern, source) is taken, and seeded documents are drawn to those shares: in each
 source they are ordered by a hash over the share, and whole documents are taken up to the quota.
 The quota ends inside at most one document of a source, which is taken in part. A histogram of the
@@ -203,8 +203,8 @@ def mix(
         [(s, rank[s], sizes[s], wanted[s]) for s in rank],
         "named string, rank int, source_size bigint, target double",
     )
-    # Tables with a row for each source, or for each arc of the flow, came from the driver: they are
-    # small enough to broadcast, and a hot source is not dealt to one task.
+    # Tables with a row for each source came from the driver: they are small enough to broadcast, and
+    # a hot source is not dealt to one task.
     named = F.broadcast(listed)
     rows = rows.join(named, F.col("source").eqNullSafe(F.col("named"))).drop("source", "named")
 
@@ -212,50 +212,48 @@ def mix(
     texts = held.groupBy("k1", "k2").agg(
         F.sort_array(F.collect_list(F.struct("rank", "words"))).alias("members"), F.max("size").alias("size")
     )
-    texts = texts.withColumn("pattern", F.col("members.rank"))
+    # Patterns go by two hashes: an arc with the whole pattern would make a large one quadratic.
+    texts = texts.withColumn("pattern", F.col("members.rank")).withColumns(
+        {"p1": F.xxhash64("pattern"), "p2": F.xxhash64(F.lit(1), "pattern")}
+    )
     arcs = (
-        texts.select("pattern", "size", F.explode("members").alias("m"))
-        .groupBy("pattern", F.col("m.rank").alias("rank"))
+        texts.select("p1", "p2", "size", F.explode("members").alias("m"))
+        .groupBy("p1", "p2", F.col("m.rank").alias("rank"))
         .agg(F.sum("m.words").alias("words"), F.sum("size").alias("own"))
+        .toArrow()
     )
-    shared = arcs.where(F.size("pattern") > 1)
-    top = shared.orderBy(F.desc("own"), "pattern", "rank").limit(PATTERNS).collect()
-    supply: dict[tuple, dict[int, int]] = {}
-    distinct: dict[tuple, int] = {}
-    for r in top:
-        supply.setdefault(tuple(r.pattern), {})[r["rank"]] = r.words
-        distinct[tuple(r.pattern)] = r.own
-    # A pattern cut by the limit counts as rare, too.
-    for p in [p for p in supply if len(supply[p]) < len(p)]:
-        del supply[p], distinct[p]
-    alone = arcs.groupBy("rank").agg(
-        F.sum("words").alias("words"),
-        F.sum(F.when(F.size("pattern") == 1, F.col("own")).otherwise(0)).alias("own"),
-    )
-    for r in alone.collect():
-        shared_words = sum(s.get(r["rank"], 0) for p, s in supply.items() if len(p) > 1)
-        if r.words > shared_words:
-            supply[(r["rank"],)] = {r["rank"]: r.words - shared_words}
-            distinct[(r["rank"],)] = max(r.own, 1)
+    members: dict[tuple, dict[int, int]] = {}
+    own: dict[tuple, int] = {}
+    for batch in arcs.to_batches():
+        for p1, p2, r, words, n in zip(*(c.to_pylist() for c in batch.columns)):
+            members.setdefault((p1, p2), {})[r] = words
+            own[p1, p2] = n
+    # Numbered in the order of their sources.
+    names_of = sorted(members, key=lambda p: sorted(members[p]))
+    supply = {i: members[p] for i, p in enumerate(names_of)}
+    distinct = {i: own[p] for i, p in enumerate(names_of)}
     quotas = {rank[s]: int(wanted[s]) for s in rank}
     taken = route(supply, distinct, quotas, most)
     ratio = {k: x / supply[k[0]][k[1]] for k, x in taken.items()}
     left = dict.fromkeys(quotas, 0)
     for (p, s), x in taken.items():
         left[s] += x - int(ratio[p, s]) * supply[p][s]
+    alone = {s: v for (p, s), v in ratio.items() if len(supply[p]) == 1}
     listed = spark.createDataFrame(
-        [(list(p), s, v) for (p, s), v in ratio.items() if len(p) > 1],
-        "pattern array<int>, rank int, ratio double",
+        [(*names_of[p], s, v) for (p, s), v in ratio.items() if len(supply[p]) > 1],
+        "p1 bigint, p2 bigint, rank int, ratio double",
     )
+    if len(ratio) <= PATTERNS:
+        listed = F.broadcast(listed)
     of_source = spark.createDataFrame(
-        [(s, ratio.get(((s,), s), 0.0), left[s]) for s in quotas],
+        [(s, alone.get(s, 0.0), left[s]) for s in quotas],
         "rank int, own_ratio double, left bigint",
     )
     # Only texts of several sources need their pattern; they are a part of the rows.
     of_text = (
         texts.where(F.size("pattern") > 1)
-        .select("k1", "k2", "pattern", F.explode("pattern").alias("rank"))
-        .join(F.broadcast(listed), ["pattern", "rank"])
+        .select("k1", "k2", "p1", "p2", F.explode("pattern").alias("rank"))
+        .join(listed, ["p1", "p2", "rank"])
         .select("k1", "k2", "rank", "ratio")
     )
     share_of = F.when(F.col("size") == 0, 0.0).otherwise(F.coalesce("ratio", "own_ratio"))

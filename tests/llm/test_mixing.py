@@ -59,6 +59,19 @@ def test_quotas_are_filled(spark, docs, monkeypatch):
     assert all(r["size"] == 0 or r.taken % r["size"] == 0 for r in whole)
 
 
+def test_every_pattern_takes_part(spark, monkeypatch):
+    """All subsets of five sources, more arcs than ``PATTERNS``: the same mix."""
+    texts = [(m, f"{m} {k} " + "w " * 8) for m in range(1, 32) for k in range(3)]
+    docs = [(t, "abcde"[s]) for m, t in texts for s in range(5) if m >> s & 1]
+    docs = [(i, t, s) for i, (t, s) in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    want = mixing.mix(df).collect()
+    monkeypatch.setattr(mixing, "PATTERNS", 3)
+    got = mixing.mix(df).collect()
+    check(got, docs)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want))
+
+
 def test_targets():
     got = mixing.targets({"b": 100, "a": 100, None: 100})
     assert got == {"a": 200.0, "b": pytest.approx(250 / 3), None: pytest.approx(500 / 3)}
