@@ -19,6 +19,11 @@ GRAPHVIZ_VERTEX = r"^\s*\d+\s*(\[.*|;.*|//.*|#.*)?$"
 GRAPHVIZ_CHAIN = r"^\s*\d+(\s*(--|->)\s*\d+)+"
 GRAPHVIZ_OTHER = r"^\s*(\d+)\s+[^\s\[;]+\s+(\d+)"
 GRAPHVIZ_ID = r"^\s*\d"
+# A `;` with an id after it, and the statements between such: quotes, brackets and comments stay whole.
+GRAPHVIZ_MORE = r"^\s*\d.*;\s*\d"
+GRAPHVIZ_STATEMENT = (
+    r'(?://.*|#.*|/\*.*?\*/|\[(?:"(?:\\.|[^"\\])*"|[^\]"])*\]|\[.*|"(?:\\.|[^"\\])*"|".*|[^;\["])+'
+)
 DIMACS_EDGE = r"^\s*e\s+(\d+)\s+(\d+)(\s.*)?$"
 DIMACS_START = r"^\s*e(\s|$)"
 DIMACS_SIZE = r"^\s*p\s+\S+\s+(\d+)\s+(\d+)"
@@ -33,8 +38,11 @@ def _pair(a: Column, b: Column) -> Column:
 
 
 def _graphviz(lines: DataFrame, rest: list[str]) -> DataFrame:
-    """The edges of every line that starts with an id, a chain giving one for each step."""
+    """The edges of every statement of lines that start with an id, a chain giving one for each step."""
     line = F.col("value")
+    statements = F.regexp_extract_all(line, F.lit(GRAPHVIZ_STATEMENT), 0)
+    statements = F.when(line.rlike(GRAPHVIZ_MORE), statements).otherwise(F.array(line))
+    lines = lines.select(*rest, F.explode(statements).alias("value"))
     ids = F.regexp_extract_all(F.regexp_extract(line, GRAPHVIZ_CHAIN, 0), F.lit(r"\d+"), 0)
     chain = F.transform(
         F.sequence(F.lit(0), F.size(ids) - 2), lambda i: _pair(F.get(ids, i), F.get(ids, i + 1))

@@ -145,3 +145,21 @@ def test_results_are_appended(spark, tmp_path):
         ct.write_results(row, str(tmp_path / "r"))
     lines = [l for f in (tmp_path / "r").glob("*.csv") for l in f.read_text().splitlines()]
     assert lines == ["2;3;2;cover;0.5;4"] * 2
+
+
+def test_graphviz_statements_of_one_line(spark):
+    from covertile.sources import graphs
+
+    text = "\n".join(
+        [
+            "1; 2 -- 3;",
+            '4 -- 5; 6 -- 7 -- 8 [label="a]; 9 -- 9"]; 10 -> 11',
+            "12 -- 13 // no; 14 -- 15",
+            "16 -- 17 # no; 18 -- 19",
+            '20 [label="x; 21 -- 22"];',
+            '23 [label="open; 24 -- 25',
+        ]
+    )
+    got = graphs.parse_graphviz(spark.createDataFrame([(text,)], "text string")).collect()
+    want = [(2, 3), (4, 5), (6, 7), (7, 8), (10, 11), (12, 13), (16, 17)]
+    assert sorted((r.src, r.dst) for r in got) == want
