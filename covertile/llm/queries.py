@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, mixing, quality, sharding, simhash, substring_dedup, token_files, toxicity
+from . import (
+    decontaminate,
+    license_scan,
+    line_dedup,
+    mixing,
+    quality,
+    resample,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_files,
+    toxicity,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -88,6 +100,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -99,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_resample": op13_resample,
 }
 
 #: Words of decontaminate.folded_words and the distinct five-word shingles of a table's texts.
