@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_mixing": "doc_id size source_size target taken",
     "op9_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op10_substring_dedup": "doc_id n_words n_removed kept_sha256",
+    "op12_jaccard_join": "doc_id n_shingles component_id",
     "op13_resample": "doc_id n_features weight score rank",
 }
 
@@ -32,8 +33,8 @@ def con():
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in [*range(1, 11), 13]]
-    assert QUERIES.keys() == COLUMNS.keys() | ORACLES.keys()
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
+    assert QUERIES.keys() == COLUMNS.keys() | ORACLES.keys() | {"op11_conversation_repair"}
 
 
 @pytest.mark.parametrize("name", ORACLES)
