@@ -1,11 +1,9 @@
 """Greedy set cover and greedy hitting set.
 
 Sequential greedy takes the set with the most uncovered elements, one pick per round. Taken
-literally that is one Spark job per pick. Here a set is picked as soon as it beats every set that
-shares an uncovered element with it: gains only fall, so nothing can overtake it before it is
-picked, and its gain can no longer change. All such local winners are picked in one round, and
-sorting the picks by (gain descending, tie rule) restores the sequential order. The picks, their
-order and their gains are those of sequential greedy.
+literally that is one Spark job per pick. Exact covers keep the gains and settle the head of their
+ranking in each round (see :mod:`.exact_cover`): the picks, their order and their gains are those of
+sequential greedy. Covers in batches take near-best sets together, here.
 """
 
 from __future__ import annotations
@@ -19,21 +17,21 @@ from ..functions import hash_priority, tie_distance
 from ..plans.lanes import HOT_ROWS, Lanes
 from ..plans.ranks import ranked
 from ..plans.workspace import Workspace
+from .exact_cover import HEAD_PAIRS, HEAD_SETS, exact_cover
 from .tuples import swap
 
 # The pairs are written anew when half the elements are covered and at least this many are stored.
 COMPACT_ROWS = 4_000_000
 
-TIES = ("id", "hash", "distance")
+TIES = ("id", "hash", "distance", "redraw")
 
 
 def _tie(ties: str, seed: int | str | None, salt: list[str]) -> Column:
     """What breaks equal gains, before the id: nothing, a seeded hash, or a digit distance.
 
-    The number of the distance rule is drawn once per run, not once per pick: a rule that changes
-    between picks would make the order of independent picks matter.
+    The number of the distance rule is drawn once per run, and with ``redraw`` anew for every pick.
     """
-    if ties == "id":
+    if ties in ("id", "redraw"):
         return F.lit(0)
     if ties == "hash":
         return hash_priority(F.col("set_id"), seed, *[F.col(c) for c in salt])
@@ -52,10 +50,14 @@ def greedy_set_cover(
     max_rounds: int = 100_000,
     compact_rows: int = COMPACT_ROWS,
     copies: tuple[str, int] | None = None,
+    head_sets: int = HEAD_SETS,
+    head_pairs: int = HEAD_PAIRS,
 ) -> DataFrame:
     """``(step, set_id, gain)``: sets that together contain every element of ``pairs``.
 
-    ``batch=None`` gives exactly the picks of sequential greedy. ``batch=eps`` with 0 < eps < 1
+    ``batch=None`` gives exactly the picks of sequential greedy; ``head_sets`` and ``head_pairs`` bound
+    what one task of a round holds and leave them alone. ``ties='redraw'`` draws the number of the
+    distance rule for every pick, and runs one exact problem at a time. ``batch=eps`` with 0 < eps < 1
     takes in each round all sets within a factor ``1 - eps`` of the best one that still bring at
     least ``1 - eps`` of that bound when elements go to the first set in hash order: far fewer
     rounds, and every pick gains at least ``(1 - eps)^2`` of the best gain of its round. Gains
@@ -66,15 +68,25 @@ def greedy_set_cover(
     """
     if batch is not None and not 0 < batch < 1:
         raise ValueError(f"batch must lie between 0 and 1, got {batch}")
+    if ties == "redraw" and (batch is not None or by):
+        raise ValueError("ties='redraw' is for one exact cover, without batch and by")
     rule = _tie(ties, seed, list(by))
     with Workspace(pairs.sparkSession, "cover") as ws:
-        return _cover_in_rounds(
-            ws, pairs, batch, rule, list(by), copies, hot_rows, max_rounds, compact_rows
+        own = [c for c in by if not copies or c != copies[0]]
+        named = pairs.where("set_id IS NOT NULL AND elem_id IS NOT NULL")
+        base, seen = ws.measured(named.select(*own, "set_id", "elem_id").distinct(), "pairs")
+        if batch is None:
+            redraw = str(seed) if ties == "redraw" else None
+            return exact_cover(
+                ws, base, seen["rows"], list(by), copies, rule, redraw, max_rounds, compact_rows, head_sets, head_pairs
+            )
+        return _cover_in_batches(
+            ws, base, seen["rows"], batch, rule, list(by), copies, hot_rows, max_rounds, compact_rows
         )
 
 
-def _cover_in_rounds(
-    ws, pairs, batch, rule, by, copies, hot_rows, max_rounds, compact_rows
+def _cover_in_batches(
+    ws, base, stored, batch, rule, by, copies, hot_rows, max_rounds, compact_rows
 ) -> DataFrame:
     shared = [copies[0]] if copies else []
 
@@ -82,15 +94,12 @@ def _cover_in_rounds(
         return df.withColumn(copies[0], F.explode(F.sequence(F.lit(1), F.lit(copies[1]))))
 
     own = [c for c in by if c not in shared]
-    named = pairs.where("set_id IS NOT NULL AND elem_id IS NOT NULL")
-    base, seen = ws.measured(named.select(*own, "set_id", "elem_id").distinct(), "pairs")
-    by_set = Lanes(ws, "set", base, [*own, "set_id"], "elem_id", hot_rows, seen["rows"])
-    by_elem = Lanes(ws, "elem", base, [*own, "elem_id"], "set_id", hot_rows, seen["rows"])
+    by_set = Lanes(ws, "set", base, [*own, "set_id"], "elem_id", hot_rows, stored)
+    by_elem = Lanes(ws, "elem", base, [*own, "elem_id"], "set_id", hot_rows, stored)
     if by_set.count or by_elem.count:
         base = ws.write(by_elem.tag(by_set.tag(base)), "pairs_in_lanes")
 
-    choose = _local_winners if batch is None else _batch_winners
-    left, stored, rounds, to_cover, number = base, seen["rows"], [], None, -1
+    left, rounds, to_cover, number = base, [], None, -1
     if shared and stored:
         left = copied(base)
     while stored:
@@ -99,7 +108,7 @@ def _cover_in_rounds(
             raise RuntimeError(f"cover not finished after {max_rounds} rounds")
         # One row per uncovered element: the set it goes to, and whether that set is picked now.
         best, seen = ws.measured(
-            choose(left, by, by_set, [*by_set.on, *shared], rule, batch).withColumn("round", F.lit(number)),
+            _batch_winners(left, by, by_set, [*by_set.on, *shared], rule, batch).withColumn("round", F.lit(number)),
             f"best{number}",
             split="won",
             won=F.count_if("won"),
@@ -134,9 +143,7 @@ def _cover_in_rounds(
         .groupBy(*by, "round", "tie", "set_id")
         .agg(F.count(F.lit(1)).alias("gain"))
     )
-    order = [F.col("gain").desc(), F.col("tie"), F.col("set_id")]
-    if batch is not None:
-        order.insert(0, F.col("round"))
+    order = [F.col("round"), F.col("gain").desc(), F.col("tie"), F.col("set_id")]
     steps = ranked(ws, picks, by, order, "picks", "step").select(
         *by, F.col("step").cast("int").alias("step"), "set_id", "gain"
     )
@@ -154,27 +161,6 @@ def _gains(left: DataFrame, key: list[str], rule: Column) -> DataFrame:
     return counts.withColumn("tie", rule)
 
 
-def _local_winners(left, by, by_set, on, rule, batch) -> DataFrame:
-    """Per uncovered element its best set; ``won`` if that set beats all its rivals."""
-    key = [*by, "set_id"]
-    best = (
-        left.join(by_set.copy(_gains(left, key, rule)), on)
-        .groupBy(*by, "elem_id")
-        .agg(F.min(F.struct((-F.col("gain")).alias("less"), "tie", "set_id")).alias("top"))
-        .select(*by, "elem_id", "top.less", "top.tie", "top.set_id")
-    )
-    # A winner is the best set of as many elements as it has left.
-    winners = (
-        best.groupBy(*key, "less")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") == -F.col("less"))
-        .select(*key, F.lit(True).alias("won"))
-    )
-    return best.join(winners, key, "left").select(
-        *by, "elem_id", "tie", "set_id", F.coalesce("won", F.lit(False)).alias("won")
-    )
-
-
 def _batch_winners(left, by, by_set, on, rule, batch) -> DataFrame:
     """Per uncovered element the first picked set that has it; ``won`` if there is one."""
     key = [*by, "set_id"]
