@@ -41,11 +41,12 @@ from .texts import WORD_HASHES, gram_hashes, words_of
 SHINGLE = 3
 #: A link: 10 * shared >= 9 * united.
 ABOVE, BELOW = 9, 10
-SKETCH_WORDS = 4
+SKETCH = 256
 #: A shingle in more prefixes than this is hot, unless there would be more than HOT_LIST of them.
 HOT_SETS = 32
 HOT_LIST = 200_000
 WIDEN = 16
+BROADCAST_BYTES = 16 << 20
 _UNIT = 1 << 20
 
 
@@ -74,8 +75,11 @@ def prefix_of(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    """Parities of the number of shingles in each of 256 cells, as four longs."""
-    cells = np.bincount((shingles >> np.uint64(40)) % np.uint64(64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS)
+    """Parities of the number of shingles in each cell, packed; a quarter as many cells as shingles, or more."""
+    size = SKETCH
+    while 4 * size < len(shingles):
+        size *= 2
+    cells = np.bincount((shingles >> np.uint64(24)) % np.uint64(size), minlength=size)
     return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -139,6 +143,17 @@ def _may_link(na: Column, i: Column, nb: Column, j: Column) -> Column:
     )
 
 
+def _texts(ws: Workspace, marked: DataFrame, place: str, sets: DataFrame, name: str) -> DataFrame:
+    """The rows of the documents that stand for the sets, with their ``node``.
+
+    What is looked up is broadcast while it is small as written; else both sides are shuffled.
+    """
+    wanted = ws.write(sets.select("node", F.col("place").alias(place)), name)
+    if ws.bytes(name) <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    return marked.join(wanted, place)
+
+
 def _hot_first_run(ws: Workspace, sets: DataFrame, marked: DataFrame, place: str, text: str) -> DataFrame:
     """``sets`` with prefixes in the order that puts hot shingles last."""
     counts = sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("b"))
@@ -150,10 +165,14 @@ def _hot_first_run(ws: Workspace, sets: DataFrame, marked: DataFrame, place: str
     found = np.sort(np.array([r["token"] for r in hot.select("token").collect()], np.int64).view(np.uint64))
     if not len(found):
         return sets
-    touched = sets.select("node", "place", F.explode("prefix").alias("token")).join(hot, "token", "left_semi")
-    again = marked.join(
-        touched.select(F.col("place").alias(place), "node").distinct(), place
-    ).select("node", prefixes(found)(F.col(text)).alias("late"))
+    touched = (
+        sets.select("node", F.explode("prefix").alias("token"))
+        .join(F.broadcast(hot), "token", "left_semi")
+        .select("node")
+        .distinct()
+    )
+    texts = _texts(ws, marked, place, sets.join(touched, "node", "left_semi"), "touched")
+    again = texts.select("node", prefixes(found)(F.col(text)).alias("late"))
     kept = sets.join(again, "node", "left").withColumn("prefix", F.coalesce("late", "prefix")).drop("late")
     return ws.write(kept, "sets_reordered")
 
@@ -178,17 +197,12 @@ def _groups(ws: Workspace, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _entries(ws: Workspace, groups: DataFrame) -> DataFrame:
     """(token, g, n, m, pos) of every shingle in several prefixes, with its pivot and bucket size."""
     index = groups.select("g", "n", "m", F.posexplode("prefix").alias("pos", "token"))
-    tokens = ws.write(
-        index.groupBy("token")
-        .agg(
-            F.count(F.lit(1)).alias("b"),
-            F.max("m").alias("widest"),
-            F.min(F.struct("g", "n", "pos")).alias("pivot"),
-        )
-        .where("b > 1"),
-        "tokens",
+    counts = index.groupBy("token").agg(F.count(F.lit(1)).alias("b")).where("b > 1")
+    several = ws.write(index.join(ws.write(counts, "tokens"), "token"), "several")
+    pivots = several.groupBy("token").agg(
+        F.max("m").alias("widest"), F.min(F.struct("g", "n", "pos")).alias("pivot")
     )
-    return ws.write(index.join(tokens, "token"), "entries")
+    return ws.write(several.join(ws.write(pivots, "pivots"), "token"), "entries")
 
 
 def _group_pairs(entries: DataFrame, width: int) -> DataFrame:
@@ -220,9 +234,11 @@ def _member_pairs(pairs: DataFrame, members: DataFrame, width: int, before: int)
         F.col("g").alias("b"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"),
         F.col("root").alias("ry"),
     )
-    differ = sum(
-        (F.bit_count(F.get("sx", i).bitwiseXOR(F.get("sy", i))) for i in range(SKETCH_WORDS)), F.lit(0)
+    # Sketches of different lengths are of sizes on both sides of a power of two: those pairs go on.
+    differ = F.aggregate(
+        F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v
     )
+    differ = F.when(F.size("sx") == F.size("sy"), differ).otherwise(F.lit(0))
     new = F.greatest("level", "inner") > F.lit(before)
     return (
         pairs.join(ours, "a")
@@ -238,8 +254,8 @@ def _member_pairs(pairs: DataFrame, members: DataFrame, width: int, before: int)
 def _verified(ws: Workspace, pairs: DataFrame, sets: DataFrame, marked: DataFrame, place: str, text: str, number: int) -> DataFrame:
     """The pairs that are links, by their whole sets."""
     wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-    placed = sets.join(wanted, "node", "left_semi").select("node", F.col("place").alias(place))
-    whole = ws.write(marked.join(placed, place).select("node", shingles(F.col(text)).alias("s")), f"whole{number}")
+    texts = _texts(ws, marked, place, sets.join(wanted, "node", "left_semi"), f"wanted{number}")
+    whole = ws.write(texts.select("node", shingles(F.col(text)).alias("s")), f"whole{number}")
     shared = F.size(F.array_intersect("sx", "sy"))
     united = F.size("sx") + F.size("sy") - shared
     return (
