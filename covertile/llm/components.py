@@ -18,8 +18,10 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 100) -> DataFr
     A large star links each larger neighbour of a node to the smallest node around it, a small
     star the smaller neighbours and the node itself. Both keep the components, and the edges
     turn into stars in a number of rounds that grows with the logarithm of the size. Every step
-    is a minimum by key (combined before the exchange) and a join of the edges to those minima,
-    whose edge side adaptive execution may split. Rounds are written, so a lost executor costs
+    is a minimum by key (combined before the exchange) and a join of the edges to those minima. The
+    minima are written first: a join to an aggregate of the same key would share its exchange, and
+    adaptive execution does not split such a join, while the edges of a hub are split against a
+    scan, or the minima are broadcast if they are small. Rounds are written, so a lost executor costs
     one round; an edge goes to at most one other, so tables never grow.
     """
     edges = ws.write(
@@ -29,7 +31,7 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 100) -> DataFr
     last = None
     for r in range(1, max_rounds + 1):
         ring = _both(edges)
-        least = ring.groupBy("a").agg(F.min("b").alias("m"))
+        least = ws.write(ring.groupBy("a").agg(F.min("b").alias("m")), f"least_ring_{r}")
         large = (
             ring.join(least, "a")
             .where("b > a")
@@ -37,7 +39,7 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 100) -> DataFr
             .distinct()
         )
         large = ws.write(large, f"large_{r}")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = ws.write(large.groupBy("a").agg(F.min("b").alias("m")), f"least_large_{r}")
         joined = large.join(least, "a")
         small = (
             joined.where("b <> m")
@@ -50,7 +52,8 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 100) -> DataFr
         )
         now = (seen["rows"], seen["total"])
         ws.drop(f"edges_{r - 1}")
-        ws.drop(f"large_{r}")
+        for stage in (f"large_{r}", f"least_ring_{r}", f"least_large_{r}"):
+            ws.drop(stage)
         if now == last:
             break
         last = now

@@ -57,6 +57,11 @@ def shingle_set(words: list[bytes]) -> set[bytes]:
     return {b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
 
 
+def item_shingles(words: list[bytes]) -> set[bytes]:
+    """The shingles of a test item; one of fewer words is a single shingle of its own length."""
+    return shingle_set(words) if len(words) >= SHINGLE else {b" ".join(words)} if words else set()
+
+
 def size_class(n: int) -> int:
     """The smallest c with n <= 2^c."""
     return max(CLASSES.start, (n - 1).bit_length())
@@ -93,9 +98,14 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], threshold: float):
         self.items = []
+        # Items below a shingle, by their number of words: they are looked up as they are.
+        self.short: dict[int, dict[bytes, list[int]]] = {}
         for item_id, text in items:
-            shingles = shingle_set(folded_words(text))
-            if shingles:
+            words = folded_words(text)
+            shingles = item_shingles(words)
+            if shingles and len(words) < SHINGLE:
+                self.short.setdefault(len(words), {}).setdefault(b" ".join(words), []).append(item_id)
+            elif shingles:
                 need = max(1, math.ceil(threshold * len(shingles) - 1e-9))
                 self.items.append((item_id, shingles, need))
         self._hashes = None
@@ -121,17 +131,22 @@ class ItemIndex:
 
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
         words = folded_words(text)
+        out = [
+            (item_id, 1, 1)
+            for n, named in self.short.items()
+            for run in {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} & named.keys()
+            for item_id in named[run]
+        ]
         if len(words) < SHINGLE or not self.items:
-            return []
+            return out
         h = gram_hashes(WORD_HASHES.of(words), SHINGLE)
         small = self.partition(None).owners_of(h)
         h.sort()
         c = size_class(len(h))
         met = np.union1d(small, self.partition(c).owners_of(signature(h, c)))
         if not len(met):
-            return []
+            return out
         own = shingle_set(words)
-        out = []
         for i in met.tolist():
             item_id, shingles, need = self.items[i]
             shared = len(shingles & own)
@@ -161,9 +176,9 @@ def contamination(
 ) -> DataFrame:
     """``docs`` with ``column``: the items each row contains, by item id.
 
-    An array of ``item_id, shared, item_shingles``, empty for clean rows and for null or short
-    texts. Items with fewer than five words or a null id or text have no shingle to find and never
-    match; repeated items match on their own. Rows and other columns stay as they are. Items are
+    An array of ``item_id, shared, item_shingles``, empty for clean rows and for null or empty
+    texts. An item of one to four words is one shingle, found where its words stand in a row. Items without
+    words or with a null id or text never match; repeated items match on their own. Rows and other columns stay as they are. Items are
     read to the driver in blocks of about ``BLOCK_WORDS`` words.
     """
     items = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).alias("text"))

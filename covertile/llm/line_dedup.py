@@ -4,8 +4,8 @@ A window is three consecutive lines (cut at ``\\n``) of which one holds a word.
 of hash. Windows that occur more than once are found by one aggregation, combined before the exchange,
 that keeps the first place of each: smallest id, then smallest position. Joining the windows to
 those, every occurrence but the first covers its three lines; covered positions of a document are
-merged, and the lines at the other positions stay. A hot window is one row of the small side of that
-join, whose large side adaptive execution may split.
+merged, and the lines at the other positions stay. The first places are written before that join, so a
+hot window is one row of a scan, and the side with its occurrences may be split.
 """
 
 from __future__ import annotations
@@ -67,6 +67,7 @@ def drop_repeated_windows(
         .where("n > 1")
         .select("h1", "h2", "first")
     )
+    firsts = ws.write(firsts, "firsts")
     covered = (
         found.join(firsts, ["h1", "h2"])
         .where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))

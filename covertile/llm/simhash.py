@@ -269,9 +269,11 @@ def links(ws: Workspace, fps: DataFrame, exact_blocks: int, bucket: int) -> Data
     crowded = crowded.select("fp", (F.col("choice") - F.col("choice") % 2).alias("choice")).distinct()
     met = ws.write(crowded, "crowded").mapInArrow(midpoints(exact_blocks), "fp bigint, word bigint")
     stars = met.groupBy("word").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
+    # Written first, so that a word in which very many meet is split when they are joined to it.
+    stars = ws.write(stars.select("word", "a"), "stars")
     # A word links all that meet at it to the smallest; each fingerprint keeps its links once.
     linked = (
-        met.join(stars.select("word", "a"), "word")
+        met.join(stars, "word")
         .where("fp > a")
         .select("a", F.col("fp").alias("b"))
         .distinct()
@@ -304,9 +306,18 @@ def near_duplicates(
         fps.join(group, fps.fp == group.node, "left")
         .select("fp", "first", F.coalesce("root", "fp").alias("root"))
     )
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    # Groups of one fingerprint need no further exchange to know their smallest id.
-    of_fp = named.join(smallest, "root").select("fp", "component_id")
+    smallest = (
+        named.groupBy("root")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("component_id"))
+        .where("n > 1")
+        .drop("n")
+    )
+    # Written first, so that a large group is split when its fingerprints are joined to it; a group of one
+    # fingerprint knows its smallest id.
+    smallest = ws.write(smallest, "smallest").withColumn("several", F.lit(True))
+    of_fp = named.join(smallest, "root", "left").select(
+        "fp", F.when(F.col("several"), F.col("component_id")).otherwise(F.col("first")).alias("component_id")
+    )
     return made.join(of_fp, "fp").select(
         F.col("id").alias("doc_id"), "fp", "component_id"
     )

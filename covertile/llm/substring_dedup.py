@@ -331,7 +331,8 @@ def drop_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     if seen["contexts"]:
         shards = -(-seen["contexts"] // SHARD)
         many = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("of_anchor"))
-        many = many.where(F.col("of_anchor") > SHARD)
+        # At most contexts / SHARD rows, written so that contexts of one anchor may be split against them.
+        many = ws.write(many.where(F.col("of_anchor") > SHARD), "many")
         dealt = contexts.join(many, "anchor", "left").withColumn(
             "hot", F.col("hot") | F.col("of_anchor").isNotNull()
         )
@@ -345,7 +346,8 @@ def drop_repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         fresh = judged.where("new IS NOT NULL").select("id", "key", "start", F.inline("new"))
         fresh = fresh.select("id", "key", (F.col("start") + F.col("at")).alias("start"), "w1", "w2")
         firsts = fresh.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("id", "key", "start")).alias("first"))
-        again = fresh.join(firsts.where("k > 1"), ["w1", "w2"]).where(
+        firsts = ws.write(firsts.where("k > 1"), "firsts")
+        again = fresh.join(firsts, ["w1", "w2"]).where(
             F.struct("id", "key", "start") != F.col("first")
         )
         parts.append(again.select("id", "key", "start", F.lit(1).alias("mask")))

@@ -9,18 +9,21 @@ from covertile.llm import decontaminate as dc
 
 
 def plain(docs, items):
-    def shingles(text):
+    def words(text):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
         for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r":
             low = low.replace(c, " ")
-        w = [x for x in low.split(" ") if x]
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return [x for x in low.split(" ") if x]
+
+    def runs(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
     out = []
     for d, text in docs:
-        own = shingles(text)
+        w = words(text)
         for i, item in items:
-            s = shingles(item)
+            n = min(5, len(words(item)))
+            s, own = (runs(words(item), n), runs(w, n)) if n else (set(), set())
             if i is not None and s and 5 * len(s & own) >= 4 * len(s):
                 out.append((d, i, len(s & own), len(s)))
     return sorted(out, key=repr)
@@ -32,7 +35,7 @@ def data():
     vocabulary = [f"v{i}" for i in range(400)] + ["Été", "ß", "OF", "The"]
     text = lambda n: " ".join(rng.choices(vocabulary, k=n))
     items = [(i, text(rng.choice([5, 6, 8, 14, 30, 59, 200]))) for i in range(60)]
-    items += [(60, items[3][1]), (61, "too short"), (62, None), (None, text(20)), (63, ""), (64, "a b c d e")]
+    items += [(60, items[3][1]), (61, "Too; short"), (65, "v7"), (66, "a b c d"), (67, items[3][1].split(" ")[0]), (62, None), (None, text(20)), (63, ""), (64, "a b c d e")]
     docs = [(0, None), (1, ""), (2, "a b c d"), (3, "A, b; c\nd (e)!"), (4, items[2][1]), (4, items[2][1])]
     for d in range(10, 150):
         words = text(rng.choice([10, 300, 3000])).split(" ")

@@ -104,3 +104,12 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").select("doc_id", "toxic")
     rows = queries.op1_toxicity(spark, SF_DIR).join(labels, "doc_id").where("held_out").collect()
     assert len(rows) > 500 and sum(r.predicted == r.toxic for r in rows) > 0.97 * len(rows)
+
+
+def test_labels_of_one_class(spark):
+    docs = spark.createDataFrame([(i, f"word{i} text") for i in range(40)] + [(41, None), (42, "")], "doc_id bigint, text string")
+    for value in (0, 1):
+        labels = spark.createDataFrame([(i, value) for i in range(40)], "doc_id bigint, toxic int")
+        model = tx.fit(docs, labels)
+        rows = docs.select("text", tx.scorer(model)("text").alias("t")).collect()
+        assert all(r.t.score < 0.5 for r in rows if not r.t.hits)
