@@ -20,7 +20,7 @@ from ..functions import hash_priority, mex, precedes
 from ..plans.lanes import HOT_ROWS, Lanes
 from ..plans.workspace import Workspace
 from .checks import check_at_least
-from .graphs import NEIGHBOURS, both_ways, vertices_of
+from .graphs import NEIGHBOURS, both_ways, proper, vertices_of
 
 # ``join='broadcast'`` sends freshly fixed vertices of at most so many bytes; beyond, Spark decides.
 BROADCAST_BYTES = 32 << 20
@@ -76,12 +76,13 @@ def _shared(edges: DataFrame, by: list[str]) -> list[str]:
 def _with_vertices(ws, vertices, edges, by, seed, priority):
     """Vertices with a priority, and the priorities of both edge ends as ``ps`` and ``pd``.
 
-    An edge end that is not among the given vertices raises.
+    An edge end that is null or not among the given vertices raises. A vertex given more than once has the
+    least of its priorities.
 
     A priority that is computed from the id costs no join; a stored one is joined to both ends.
     """
     key = [*by, "id"]
-    edges = ws.write(edges.where("src <> dst").select(*by, "src", "dst"), "given")
+    edges = ws.write(proper(edges).select(*by, "src", "dst"), "given")
     if vertices is None:
         vertices = vertices_of(edges, by)
     else:
@@ -89,7 +90,7 @@ def _with_vertices(ws, vertices, edges, by, seed, priority):
         if vertices_of(edges, by).join(known, key, "left_anti").limit(1).count():
             raise ValueError("an edge names a vertex that is not among the vertices")
     if "priority" in vertices.columns:
-        vertices = vertices.select(*key, "priority")
+        vertices = vertices.groupBy(*key).agg(F.min("priority").alias("priority"))
 
         def end(name: str, p: str) -> DataFrame:
             return vertices.select(*by, F.col("id").alias(name), F.col("priority").alias(p))
@@ -273,8 +274,7 @@ def color_repair(
     by: list[str] = (),
     seed: int | str | None = None,
     priority: Callable[[Column], Column] | None = None,
-    max_rounds: int = 1000,
-    hot_rows: int = HOT_ROWS,
+    max_rounds: int = 100_000,
 ) -> DataFrame:
     """``(id, color)``: start with one colour everywhere and repair conflicts in rounds.
 
@@ -284,74 +284,84 @@ def color_repair(
     kept its colour once keeps it for good; without, it may still move, which gives different
     colours. Stopping at ``max_rounds`` raises: an unfinished colouring is never returned.
 
-    A vertex can only change if a neighbour or itself changed in the round before (with
-    ``freeze``: only if itself changed), so later rounds look at those vertices only.
+    Every vertex keeps a multiset of its neighbours' colours: how many have a colour, and how many of
+    those precede it. That is all the rule needs, and both numbers add up, so a round sends only what
+    changed: each vertex that moved takes one from its old colour and adds one to its new colour around
+    its neighbours. Edges of vertices that did not move are not met, and with ``freeze`` a vertex that
+    did not move is written once and read by the result only.
     """
     check_at_least("max_rounds", max_rounds, 1)
     with Workspace(edges.sparkSession, "repair") as ws:
         vertices, edges = _with_vertices(ws, vertices, edges, list(by), seed, priority)
-        return _repair_in_rounds(ws, vertices, edges, freeze, list(by), max_rounds, hot_rows)
+        return _repair_in_rounds(ws, vertices, edges, freeze, list(by), max_rounds)
 
 
-def _repair_in_rounds(ws, vertices, edges, freeze, by, max_rounds, hot_rows) -> DataFrame:
+def _repair_in_rounds(ws, vertices, edges, freeze, by, max_rounds) -> DataFrame:
     key = [*by, "id"]
-    pairs, seen = ws.measured(
-        both_ways(edges.select(*by, "src", "dst"), by)
-        .distinct()
-        .withColumnRenamed("src", "id"),
-        "pairs",
+    ends = [("src", "dst", "up"), ("dst", "src", "NOT up")]
+    both = F.array(*[F.expr(f"struct({a} AS id, {b} AS dst, {up} AS ahead)") for a, b, up in ends])
+    up = precedes(F.col("ps"), F.col("src"), F.col("pd"), F.col("dst"))
+    pairs = ws.write(edges.withColumn("up", up).select(*by, F.inline(both)).distinct(), "pairs")
+
+    # All begin with colour 1: one entry for each vertex that has neighbours.
+    around = pairs.groupBy(*by, F.col("dst").alias("id")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("ahead").alias("less")
     )
-    lanes = Lanes(ws, "src", pairs, key, "dst", hot_rows, seen["rows"])
-    if lanes.count:
-        pairs = ws.write(lanes.tag(pairs), "pairs_in_lanes")
-    state, seen = ws.measured(
-        vertices.select(
-            *key, "priority", F.lit(1).alias("color"), F.lit(True).alias("changed")
-        ).dropDuplicates(key),
-        "state0",
+    around = around.select(*key, F.create_map(F.lit(1), F.struct("n", "less")).alias("around"))
+    state = vertices.select(*key).distinct().withColumn("color", F.lit(1)).join(around, key, "left")
+
+    same = F.try_element_at("around", F.col("color"))
+    keeps = F.coalesce(same["less"] == 0, F.lit(False)) | F.col("around").isNull()
+    target = F.when(keeps, F.col("color")).otherwise(mex(F.map_keys("around")))
+    total = lambda a, b, f: F.coalesce(a[f], F.lit(0)) + F.coalesce(b[f], F.lit(0))
+    merged = F.map_filter(
+        F.map_zip_with(
+            "around", "news", lambda _, a, b: F.struct(total(a, b, "n").alias("n"), total(a, b, "less").alias("less"))
+        ),
+        lambda _, v: v["n"] > 0,
     )
-    total = moved = seen["rows"]
+    names: list[str] = []
     for number in range(1, max_rounds + 1):
-        heard = pairs
-        if number > 1 and (freeze or moved * 10 <= total):
-            # Vertices that may change, as receivers of messages.
-            looks = state.where("changed").select(*key)
-            if not freeze:
-                around = pairs.join(lanes.copy(looks), lanes.on)
-                looks = looks.union(around.select(*by, F.col("dst").alias("id"))).distinct()
-            receivers = looks.select(*by, F.col("id").alias("dst"))
-            heard = pairs.join(receivers, [*by, "dst"], "left_semi")
-        spoken = lanes.copy(state.select(*key, "priority", "color"))
-        around = (
-            heard.join(spoken, lanes.on)
-            .groupBy(*by, "dst", "color")
-            .agg(F.min(F.struct("priority", "id")).alias("least"))
-            .groupBy(*by, F.col("dst").alias("id"))
-            .agg(F.collect_list(F.struct("color", "least")).alias("around"))
+        now = f"round{number}"
+        decided = state.select(*key, "around", F.col("color").alias("old"), target.alias("color"))
+        written, seen = ws.measured(
+            decided.withColumn("changed", F.col("old") != F.col("color")),
+            now,
+            split="changed",
+            moved=F.count_if("changed"),
         )
-        mine = F.get(F.filter("around", lambda x: x["color"] == F.col("color")), 0)["least"]
-        keeps = F.coalesce(F.struct("priority", "id") < mine, F.lit(False))
-        target = F.when(F.col("around").isNull() | keeps, F.col("color")).otherwise(
-            mex(F.transform("around", lambda x: x["color"]))
+        schema, stayed = written.schema, seen["rows"] - seen["moved"]
+        if number > 1:
+            ws.drop(f"round{number - 1}/changed=true" if freeze else f"round{number - 1}")
+        if not freeze:
+            names = [now] if stayed else []
+        elif stayed:
+            names = ws.fold(schema, [*names, now], "changed", False, f"fixed{number}")
+        if not seen["moved"]:
+            result = ws.write(ws.half(schema, names, "changed", False).select(*key, "color"), "result")
+            ws.finish("result")
+            return result
+        moved = ws.half(schema, [now], "changed", True)
+        ahead = F.col("ahead").cast("bigint")
+        sent = F.array(
+            F.struct(F.col("old").alias("color"), F.lit(-1).alias("n"), (-ahead).alias("less")),
+            F.struct(F.col("color").alias("color"), F.lit(1).alias("n"), ahead.alias("less")),
         )
-        state, seen = ws.measured(
-            state.drop("changed")
-            .join(around, key, "left")
-            .select(
-                *key,
-                "priority",
-                target.alias("color"),
-                (target != F.col("color")).alias("changed"),
-            ),
-            f"state{number}",
-            moved=F.count_if("changed"),
+        told = (
+            pairs.join(moved.select(*key, "old", "color"), key)
+            .select(*by, F.col("dst").alias("id"), F.inline(sent))
+            .groupBy(*key, "color")
+            .agg(F.sum("n").alias("n"), F.sum("less").alias("less"))
+            .groupBy(*key)
+            .agg(F.map_from_entries(F.collect_list(F.struct("color", F.struct("n", "less")))).alias("news"))
+        )
+        going_on = moved
+        if not freeze and stayed:
+            going_on = moved.union(ws.half(schema, [now], "changed", False))
+        state = going_on.select(*key, "color", "around").join(told, key, "left").select(
+            *key, "color", F.when(F.col("news").isNull(), F.col("around")).otherwise(merged).alias("around")
         )
-        ws.drop(f"state{number - 1}")
-        moved = seen["moved"]
-        if not moved:
-            ws.finish(f"state{number}")
-            return state.select(*key, "color")
-    raise NotConverged(f"{moved} vertices still changed in round {max_rounds}")
+    raise NotConverged(f"{seen['moved']} vertices still changed in round {max_rounds}")
 
 
 def n_colors(coloring: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -365,8 +375,8 @@ def n_colors(coloring: DataFrame, by: list[str] = ()) -> DataFrame:
 def validate_coloring(coloring: DataFrame, edges: DataFrame, by: list[str] = ()) -> DataFrame:
     """``(src, dst, color)`` of the edges that break a colouring; empty if it is valid.
 
-    These are edges whose ends have the same colour, and edges with an end that has none: their
-    ``color`` is null.
+    These are edges whose ends have the same colour, and edges with an end that has none or is null:
+    their ``color`` is null.
     """
     by = list(by)
 
@@ -375,7 +385,7 @@ def validate_coloring(coloring: DataFrame, edges: DataFrame, by: list[str] = ())
 
     same = F.col("color") == F.col("other")
     return (
-        edges.where(F.col("src") != F.col("dst"))
+        edges.where(~F.col("src").eqNullSafe(F.col("dst")) | F.col("src").isNull())
         .select(*by, "src", "dst")
         .join(end("src", "color"), [*by, "src"], "left")
         .join(end("dst", "other"), [*by, "dst"], "left")

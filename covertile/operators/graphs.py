@@ -98,10 +98,16 @@ def conflict_graph(tuples: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
+def proper(edges: DataFrame) -> DataFrame:
+    """The edges without self loops. An edge with a null end raises when rows are taken."""
+    missing = F.raise_error(F.lit("an edge has a null end")).cast("boolean")
+    return edges.where(F.coalesce(F.col("src") != F.col("dst"), missing))
+
+
 def undirected(edges: DataFrame, by: list[str] = ()) -> DataFrame:
     """Each edge once with ``src < dst``; self loops and repeats removed."""
     return (
-        edges.where(F.col("src") != F.col("dst"))
+        proper(edges)
         .select(*by, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
         .dropDuplicates([*by, "src", "dst"])
     )
@@ -109,7 +115,7 @@ def undirected(edges: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def both_ways(edges: DataFrame, by: list[str] = ()) -> DataFrame:
     """Each edge in both directions, in one pass over the edges."""
-    return edges.where(F.col("src") != F.col("dst")).select(
+    return proper(edges).select(
         *by,
         F.inline(
             F.array(

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hash_priority, mex
-from ..plans.workspace import Workspace
+from ..plans.workspace import FOLD, Workspace
 from .coloring import NotConverged
 
 
@@ -34,7 +34,11 @@ def color_tuples(
     is linear in the open tuples. The tuples of one variable subset all conflict with each other,
     so at least as many rounds are needed as that subset has value combinations.
     """
-    ws = Workspace(tuples.sparkSession, "color_tuples")
+    with Workspace(tuples.sparkSession, "color_tuples") as ws:
+        return _first_fit(ws, tuples, seed, max_rounds)
+
+
+def _first_fit(ws: Workspace, tuples: DataFrame, seed, max_rounds: int) -> DataFrame:
     if "priority" not in tuples.columns:
         tuples = tuples.withColumn("priority", hash_priority(F.col("tuple_id"), seed))
     state, seen = ws.measured(
@@ -49,30 +53,37 @@ def color_tuples(
         "state0",
         split="fixed",
     )
-    schema, names, fresh = state.schema, ["state0"], None
+    schema, names, fresh, number = state.schema, [], None, 0
     if not seen["rows"]:
         return state.select("id", "color")
     while True:
-        number = len(names)
+        number += 1
         if number > max_rounds:
             raise NotConverged(f"tuples are left uncoloured after {max_rounds} rounds")
-        waiting = ws.half(schema, names[-1:], "fixed", False)
+        waiting = ws.half(schema, [f"state{number - 1}"], "fixed", False)
         ready, taken = _conditions(waiting, fresh)
-        names.append(f"state{number}")
+        now = f"state{number}"
         color = F.when(ready, mex(F.col("taken")))
         _, seen = ws.measured(
             waiting.withColumn("taken", taken)
             .withColumn("color", color)
             .withColumn("fixed", F.col("color").isNotNull())
             .select(*schema.names),
-            names[-1],
+            now,
             split="fixed",
             fixed=F.count_if("fixed"),
         )
-        ws.drop(f"{names[-2]}/fixed=false")
+        ws.drop(f"state{number - 1}/fixed=false")
+        names.append(now)
         if seen["rows"] == seen["fixed"]:
-            return ws.half(schema, names[1:], "fixed", True).select("id", "color")
-        fresh = ws.half(schema, names[-1:], "fixed", True)
+            done = ws.write(ws.half(schema, names, "fixed", True).select("id", "color"), "result")
+            ws.finish("result")
+            return done
+        fresh = ws.half(schema, [now], "fixed", True)
+        if len(names) >= FOLD:
+            # The next round reads this one apart from those it is folded with.
+            fresh = ws.write(fresh, f"fresh{number}")
+        names = ws.fold(schema, names, "fixed", True, f"folded{number}")
 
 
 def _conditions(waiting: DataFrame, fresh: DataFrame | None) -> tuple[Column, Column]:

@@ -17,6 +17,8 @@ from ..operators.graphs import undirected
 # directed ones (`->`), and any other word between two ids is taken for a connector.
 GRAPHVIZ_VERTEX = r"^\s*\d+\s*(\[.*|;.*|//.*|#.*)?$"
 GRAPHVIZ_CHAIN = r"^\s*\d+(\s*(--|->)\s*\d+)+"
+# A chain that goes on to something that is no number, as a subgraph or a quoted id.
+GRAPHVIZ_TAIL = GRAPHVIZ_CHAIN + r"\s*(--|->)"
 GRAPHVIZ_OTHER = r"^\s*(\d+)\s+[^\s\[;]+\s+(\d+)"
 GRAPHVIZ_ID = r"^\s*\d"
 # A `;` with an id after it, and the statements between such: quotes, brackets and comments stay whole.
@@ -49,7 +51,8 @@ def _graphviz(lines: DataFrame, rest: list[str]) -> DataFrame:
     )
     other = F.array(_pair(*(F.regexp_extract(line, GRAPHVIZ_OTHER, i) for i in (1, 2))))
     edges = (
-        F.when(line.rlike(GRAPHVIZ_CHAIN), chain)
+        F.when(line.rlike(GRAPHVIZ_TAIL), _wrong(line))
+        .when(line.rlike(GRAPHVIZ_CHAIN), chain)
         .when(line.rlike(GRAPHVIZ_OTHER), other)
         .otherwise(_wrong(line))
     )

@@ -72,14 +72,48 @@ def test_rounds_equal_longest_path(spark, options):
 
 
 @pytest.mark.parametrize("freeze", [True, False])
-@pytest.mark.parametrize("options", [{}, {"hot_rows": 2}], ids=str)
-def test_repair_equals_simulation(spark, freeze, options):
+def test_repair_equals_simulation(spark, freeze):
     priority, edges = random_graph(3, n=40, m=50)
     v, e = frames(spark, priority, edges)
-    found = colors(ct.color_repair(v, e, freeze=freeze, **options))
+    found = colors(ct.color_repair(v, e, freeze=freeze))
     assert found == repair(priority, edges, freeze)
 
 
+def test_repair_by_keys(spark):
+    graphs = {k: random_graph(k, n=20, m=25) for k in ("7", "8")}
+    v = [(k, i, p) for k, (priority, _) in graphs.items() for i, p in priority.items()]
+    e = [(k, a, b) for k, (_, edges) in graphs.items() for a, b in edges]
+    found = ct.color_repair(
+        spark.createDataFrame(v, "k string, id bigint, priority bigint"),
+        spark.createDataFrame(e, "k string, src bigint, dst bigint"),
+        by=["k"],
+        freeze=False,
+    )
+    rows = found.collect()
+    for k, (priority, edges) in graphs.items():
+        assert {r["id"]: r["color"] for r in rows if r["k"] == k} == repair(priority, edges, False)
+
+
+@pytest.mark.parametrize("rule", [ct.color_greedy, ct.color_repair])
+def test_a_vertex_given_twice_has_its_least_priority(spark, rule):
+    priority, edges = random_graph(1)
+    v, e = frames(spark, priority, edges)
+    more = v.union(v.selectExpr("id", "priority + 3").where("id % 3 = 0")).union(v.where("id < 4"))
+    assert colors(rule(more, e)) == colors(rule(v, e))
+
+
+def test_edges_without_an_end(spark):
+    v, e = frames(spark, {1: 1, 2: 2, 3: 3}, [(1, 2), (2, None), (None, None)])
+    flat = v.selectExpr("id", "int(id) AS color")
+    bad = ct.validate_coloring(flat, e).collect()
+    assert sorted((r.src, r.dst, r.color) for r in bad if r.src) == [(2, None, None)] and len(bad) == 2
+    for rule in (ct.color_greedy, ct.color_rounds, ct.color_repair):
+        with pytest.raises(Exception, match="null end"):
+            rule(v, e)
+    with pytest.raises(Exception, match="null end"):
+        ct.undirected(e).collect()
+
+
 def test_freezing_is_a_different_rule():
     differing = 0
     for seed in range(20):

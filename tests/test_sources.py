@@ -108,7 +108,9 @@ def test_graphviz(spark, tmp_path):
     assert sorted(tuple(r) for r in ct.parse_graphviz(strings).collect()) == [(7, *e) for e in GRAPHVIZ_EDGES]
 
 
-@pytest.mark.parametrize("line", ["1 -- x;", "1 2;", "1 -- ;", "1 --"])
+@pytest.mark.parametrize(
+    "line", ["1 -- x;", "1 2;", "1 -- ;", "1 --", "1 -- 2 -- {3 4};", '1 -- 2 -- "3";', "1 -- {2 3};", "1 -> 2 -> 3 ->"]
+)
 def test_graphviz_edges_are_not_lost(spark, line):
     strings = spark.createDataFrame([(line,)], "text string")
     with pytest.raises(Exception, match="not an edge line"):
