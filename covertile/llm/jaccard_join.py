@@ -143,15 +143,32 @@ def _may_link(na: Column, i: Column, nb: Column, j: Column) -> Column:
     )
 
 
-def _texts(ws: Workspace, marked: DataFrame, place: str, sets: DataFrame, name: str) -> DataFrame:
-    """The rows of the documents that stand for the sets, with their ``node``.
+def _texts(
+    ws: Workspace, marked: DataFrame, place: str, text: str, sets: DataFrame, name: str, columns=("node",)
+) -> DataFrame:
+    """The rows of the documents that stand for the sets, with ``columns`` of those.
 
     What is looked up is broadcast while it is small as written; else both sides are shuffled.
     """
-    wanted = ws.write(sets.select("node", F.col("place").alias(place)), name)
+    wanted = ws.write(sets.select(*columns, F.col("place").alias(place)), name)
     if ws.bytes(name) <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
-    return marked.join(wanted, place)
+    return marked.select(place, F.col(text).alias("text")).join(wanted, place)
+
+
+def _near(differ: Column, na: Column, nb: Column) -> Column:
+    """Whether sets of these sizes may differ in so few shingles that they link."""
+    return F.lit(ABOVE + BELOW) * differ <= F.lit(BELOW - ABOVE) * (na + nb)
+
+
+def _folded(sketch: str) -> Column:
+    """A sketch as long as the shortest: cells that fall together add up, so do their parities."""
+    words = SKETCH // 64
+    part = lambda j: F.filter(sketch, lambda _, i: i % words == j)
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(words - 1)),
+        lambda j: F.aggregate(part(j), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x)),
+    )
 
 
 def _hot_first_run(ws: Workspace, sets: DataFrame, marked: DataFrame, place: str, text: str) -> DataFrame:
@@ -171,38 +188,41 @@ def _hot_first_run(ws: Workspace, sets: DataFrame, marked: DataFrame, place: str
         .select("node")
         .distinct()
     )
-    texts = _texts(ws, marked, place, sets.join(touched, "node", "left_semi"), "touched")
-    again = texts.select("node", prefixes(found)(F.col(text)).alias("late"))
-    kept = sets.join(again, "node", "left").withColumn("prefix", F.coalesce("late", "prefix")).drop("late")
-    return ws.write(kept, "sets_reordered")
+    touched = ws.write(touched, "with_hot")
+    facts_ = ["node", "n", "sketch"]
+    texts = _texts(ws, marked, place, text, sets.join(touched, "node", "left_semi"), "touched", facts_)
+    again = ws.write(texts.select(*facts_, prefixes(found)(F.col("text")).alias("prefix")), "reordered")
+    return sets.join(touched, "node", "left_anti").select(*again.columns).union(again)
 
 
 def _groups(ws: Workspace, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(g, n, m, prefix) of the groups and (g, m, node, n, sketch) of their members."""
     key = [F.xxhash64("n", "prefix").alias("g1"), F.xxhash64(F.lit("second"), "n", "prefix").alias("g2")]
     keyed = sets.select("*", *key)
-    groups = ws.write(
-        keyed.groupBy("g1", "g2").agg(
-            F.min("node").alias("g"), F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
-        ),
-        "groups",
-    )
-    several = groups.where("m > 1").select("g1", "g2", "g", "m")
-    members = keyed.join(several, ["g1", "g2"], "left").select(
-        F.coalesce("g", "node").alias("g"), F.coalesce("m", F.lit(1)).alias("m"), "node", "n", "sketch"
+    shared = keyed.groupBy("g1", "g2").agg(F.min("node").alias("g"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    # Most groups have one member: what is joined to the sets is small, and prefixes stay where they are.
+    dealt = keyed.join(ws.write(shared, "shared"), ["g1", "g2"], "left").select(
+        F.coalesce("g", "node").alias("g"), F.coalesce("m", F.lit(1)).alias("m"), "node", "n", "sketch", "prefix"
     )
-    return groups.drop("g1", "g2"), ws.write(members, "members")
+    members = ws.write(dealt, "members")
+    return members.where("node = g").select("g", "m", "n", "prefix"), members.drop("prefix")
 
 
 def _entries(ws: Workspace, groups: DataFrame) -> DataFrame:
-    """(token, g, n, m, pos) of every shingle in several prefixes, with its pivot and bucket size."""
+    """(token, g, n, m, pos) of every shingle in several prefixes, with its pivot and bucket size.
+
+    ``kind`` is the class of a group whose members are all of one, once that is known, and ``fold`` the
+    folded sketch of a group of one member.
+    """
     index = groups.select("g", "n", "m", F.posexplode("prefix").alias("pos", "token"))
     counts = index.groupBy("token").agg(F.count(F.lit(1)).alias("b")).where("b > 1")
     several = ws.write(index.join(ws.write(counts, "tokens"), "token"), "several")
     pivots = several.groupBy("token").agg(
         F.max("m").alias("widest"), F.min(F.struct("g", "n", "pos")).alias("pivot")
     )
-    return ws.write(several.join(ws.write(pivots, "pivots"), "token"), "entries")
+    entries = several.join(ws.write(pivots, "pivots"), "token")
+    unknown = {"kind": F.lit(None).cast("bigint"), "fold": F.lit(None).cast("array<bigint>")}
+    return ws.write(entries.withColumns(unknown), "entries")
 
 
 def _group_pairs(entries: DataFrame, width: int) -> DataFrame:
@@ -214,10 +234,14 @@ def _group_pairs(entries: DataFrame, width: int) -> DataFrame:
         return met.select(F.col("pivot.g").alias("a"), F.col("g").alias("b"), F.lit(0.0).alias("level")).distinct()
     level = _level(F.col("g"), F.col("pivot.g"), F.col("b"))
     pivots = entries.select(
-        "token", F.col("g").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), level.alias("level")
+        "token", F.col("g").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("kind").alias("kind_a"),
+        F.col("fold").alias("fold_a"), level.alias("level"),
     ).where(F.col("level") <= width)
-    others = entries.select("token", F.col("g").alias("b"), "n", "pos")
-    met = others.join(pivots, "token").where("a <> b").where(
+    others = entries.select("token", F.col("g").alias("b"), "n", "pos", "kind", "fold")
+    differ = sum((F.bit_count(F.get("fold", i).bitwiseXOR(F.get("fold_a", i))) for i in range(SKETCH // 64)), F.lit(0))
+    near = _near(F.coalesce(differ, F.lit(0)), F.col("na"), F.col("n"))
+    met = others.join(pivots, "token").where("a <> b AND (kind IS NULL OR kind_a IS NULL OR kind <> kind_a)")
+    met = met.where(near).where(
         _may_link(F.col("na"), F.col("i"), F.col("n"), F.col("pos"))
     )
     return met.groupBy("a", "b").agg(F.min("level").alias("level"))
@@ -245,7 +269,7 @@ def _member_pairs(pairs: DataFrame, members: DataFrame, width: int, before: int)
         .where(new)
         .join(theirs, "b")
         .where("rx <> ry")
-        .where(F.lit(ABOVE + BELOW) * differ <= F.lit(BELOW - ABOVE) * (F.col("nx") + F.col("ny")))
+        .where(_near(differ, F.col("nx"), F.col("ny")))
         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         .distinct()
     )
@@ -254,8 +278,8 @@ def _member_pairs(pairs: DataFrame, members: DataFrame, width: int, before: int)
 def _verified(ws: Workspace, pairs: DataFrame, sets: DataFrame, marked: DataFrame, place: str, text: str, number: int) -> DataFrame:
     """The pairs that are links, by their whole sets."""
     wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-    texts = _texts(ws, marked, place, sets.join(wanted, "node", "left_semi"), f"wanted{number}")
-    whole = ws.write(texts.select("node", shingles(F.col(text)).alias("s")), f"whole{number}")
+    texts = _texts(ws, marked, place, text, sets.join(wanted, "node", "left_semi"), f"wanted{number}")
+    whole = ws.write(texts.select("node", shingles(F.col("text")).alias("s")), f"whole{number}")
     shared = F.size(F.array_intersect("sx", "sy"))
     united = F.size("sx") + F.size("sy") - shared
     return (
@@ -273,17 +297,20 @@ def _still_open(ws: Workspace, entries: DataFrame, members: DataFrame, width: in
     wide = (F.col("b") > width) | (F.col("widest") > width)
     if not width:
         wide = (F.col("b") > 2) | (F.col("widest") > 1)
-    waiting = entries.where(wide)
+    one = F.when(F.col("low") == F.col("high"), F.col("low")).alias("kind")
+    folds = members.where("m = 1").select("g", _folded("sketch").alias("fold"))
+    known = spans.select("g", "low", "high", one).join(folds, "g", "left")
+    tagged = entries.where(wide).drop("kind", "fold").join(known, "g")
     ends = (
-        waiting.select("token", "g")
-        .join(spans.select("g", "low", "high"), "g")
-        .groupBy("token")
+        tagged.groupBy("token")
         .agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .where("low < high")
         .select("token")
     )
     ends = ws.write(ends, f"open_tokens{number}")
-    left, seen = ws.measured(waiting.join(ends, "token", "left_semi"), f"open{number}")
+    left = tagged.join(ends, "token", "left_semi").select(*entries.columns)
+    left, seen = ws.measured(left, f"open{number}")
+    ws.drop(f"open{number - 1}" if number else "entries")
     groups, several = ws.measured(alone.select("g"), f"open_groups{number}")
     return left, groups, seen["rows"] + several["rows"]
 
@@ -314,6 +341,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scan: b
             ),
             "made",
         )
+        rows = ws.write(made.select("id", "k1", "k2", "n"), "rows")
         sets = ws.write(
             made.where("n > 0")
             .groupBy("k1", "k2")
@@ -324,9 +352,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scan: b
             .withColumn("node", F.monotonically_increasing_id()),
             "sets",
         )
+        ws.drop("made")
         ordered = _hot_first_run(ws, sets, marked, place, text)
         groups, members = _groups(ws, ordered)
         entries = _entries(ws, groups)
+        for stage in ("tokens", "several", "pivots"):
+            ws.drop(stage)
         lone = groups.where("m > 1").select("g")
         width, before, number, links, labels = 0, -1, 0, None, None
         now = members.withColumn("root", F.col("node"))
@@ -355,8 +386,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scan: b
                 sets.join(labels, "node", "left_anti").select("k1", "k2", F.col("first").alias("component_id"))
             )
         of_set = ws.write(of_set, "of_set")
-        ws.finish("made", "of_set")
+        ws.finish("rows", "of_set")
         own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-        return made.select("id", "k1", "k2", "n").join(of_set, ["k1", "k2"], "left").select(
+        return rows.join(of_set, ["k1", "k2"], "left").select(
             F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id")
         )
