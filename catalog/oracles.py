@@ -65,6 +65,45 @@ def _conflict_edges(source, cols, t) -> str:
         ON a.var = b.var AND a.value <> b.value AND a.tuple_id < b.tuple_id"""
 
 
+def _matched_classes(source, cols, t) -> str:
+    """Colour classes by matching one subset of the columns at a time, subsets by name."""
+    every = sorted(cols)
+    parts = [f"c AS (SELECT 0 AS color, {', '.join(f'NULL::VARCHAR AS {v}' for v in every)} WHERE false)"]
+    last, filled = "c", []
+    for k, s in enumerate(_subsets(cols, t)):
+        held = ", ".join(f"CAST({v} AS VARCHAR) AS {v}" for v in s)
+        parts.append(
+            f"t{k} AS (SELECT md5({_text(s)}) AS id, md5(md5({_text(s)})) AS pr, {held} "
+            f"FROM (SELECT DISTINCT {', '.join(s)} FROM {source}))"
+        )
+        met = []
+        for size in range(len(s), -1, -1):
+            for p in combinations(s, size):
+                name = f"{k}_{len(met)}"
+                taken = "".join(f" AND id NOT IN (SELECT id FROM {m})" for m in met)
+                split = f"PARTITION BY {', '.join(p)} " if p else ""
+                kind = " AND ".join(f"{v} IS {'NOT ' if v in p else ''}NULL" for v in s)
+                same = "".join(f" AND w.{v} = o.{v}" for v in p)
+                parts += [
+                    f"w{name} AS (SELECT *, row_number() OVER ({split}ORDER BY pr, id) AS pos FROM t{k} WHERE true{taken})",
+                    f"o{name} AS (SELECT *, row_number() OVER ({split}ORDER BY color) AS pos FROM {last} WHERE {kind})",
+                    f"m{name} AS (SELECT w.id, o.color, {', '.join(f'w.{v}' for v in s)} "
+                    f"FROM w{name} w JOIN o{name} o ON w.pos = o.pos{same})",
+                ]
+                met.append(f"m{name}")
+        taken = "".join(f" AND id NOT IN (SELECT id FROM {m})" for m in met)
+        parts.append(
+            f"n{k} AS (SELECT id, coalesce((SELECT max(color) FROM {last}), 0) + row_number() OVER (ORDER BY pr, id) "
+            f"AS color, {', '.join(s)} FROM t{k} WHERE true{taken})"
+        )
+        parts.append(f"f{k} AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM {m}' for m in [*met, f'n{k}'])})")
+        grown = ", ".join(f"coalesce(a.{v}, b.{v}) AS {v}" if v in s else f"a.{v}" for v in every)
+        parts.append(f"c{k} AS MATERIALIZED (SELECT color, {grown} FROM {last} a FULL JOIN f{k} b USING (color))")
+        last = f"c{k}"
+        filled.append(f"SELECT id, CAST(color AS INT) AS color FROM f{k}")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(filled)}"
+
+
 DISPATCH = """SELECT DISTINCT f AS src, o AS dst FROM (
     SELECT l_orderkey AS o, min(l_orderkey) OVER (PARTITION BY l_suppkey, l_shipdate) AS f
     FROM lineitem
@@ -329,6 +368,7 @@ def build() -> dict[str, str]:
         "color_repair_unfrozen": _repair(HASHED_ORDERS, DISPATCH_K, False),
         "color_conflict_graph": flags_color,
         "color_tuples": flags_color,
+        "color_tuples_batched": _matched_classes("lineitem", LINE, 2),
         "rows_from_coloring": _rows_from_coloring(),
         "n_colors": _schedule(
             HASHED_ORDERS,

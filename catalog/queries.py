@@ -214,6 +214,12 @@ def color_conflict_graph(spark, d):
     return ct.color_greedy(None, _conflicts(spark, d))
 
 
+def color_tuples_batched(spark, d):
+    """Every pair of values of a line and its supplier, one subset of the columns at a time."""
+    tuples = ct.tway_tuples(_lineitem(spark, d), LINE, 2)
+    return ct.color_tuples(tuples, batch=True, largest_first=False)
+
+
 def color_tuples(spark, d):
     return ct.color_tuples(ct.tway_tuples(_lineitem(spark, d), FLAGS, 2))
 
@@ -411,6 +417,7 @@ QUERIES = {
         color_repair_unfrozen,
         color_conflict_graph,
         color_tuples,
+        color_tuples_batched,
         rows_from_coloring,
         n_colors,
         validate_coloring,

@@ -17,32 +17,57 @@ stay where they are, and a round needs no join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hash_priority, mex
 from ..plans.workspace import FOLD, Workspace
+from .class_matching import match_classes
 from .coloring import NotConverged
 
 
 def color_tuples(
-    tuples: DataFrame, seed: int | str | None = None, max_rounds: int = 100_000
+    tuples: DataFrame,
+    seed: int | str | None = None,
+    max_rounds: int = 100_000,
+    batch: bool = False,
+    by: list[str] = (),
+    priority: Callable[[Column], Column] | None = None,
+    largest_first: bool = True,
 ) -> DataFrame:
-    """``(id, color)``: equal to ``color_greedy`` on the tuples and their conflict graph.
+    """``(by, id, color)``: equal to ``color_greedy`` on the tuples and their conflict graph.
+
+    Tuples are ranked by ``priority(tuple_id)``, else by their column ``priority``, else by a hash of the
+    id. Work per round is linear in the open tuples. The tuples of one variable subset all conflict with
+    each other, so at least as many rounds are needed as that subset has value combinations.
 
-    ``priority`` is taken from ``tuples`` if it is there, else hashed from the id. Work per round
-    is linear in the open tuples. The tuples of one variable subset all conflict with each other,
-    so at least as many rounds are needed as that subset has value combinations.
+    ``batch`` gives another valid colouring in as many rounds as there are variable subsets, whatever
+    the number of values (see :mod:`.class_matching`); subsets are taken by falling number of tuples, or
+    by name without ``largest_first``. ``by`` colours independent groups of tuples together.
     """
+    by = list(by)
+    if priority is not None:
+        tuples = tuples.withColumn("priority", priority(F.col("tuple_id")))
+    elif "priority" not in tuples.columns:
+        tuples = tuples.withColumn("priority", hash_priority(F.col("tuple_id"), seed))
     with Workspace(tuples.sparkSession, "color_tuples") as ws:
-        return _first_fit(ws, tuples, seed, max_rounds)
+        if batch:
+            ranked_ = tuples.select(*by, F.col("tuple_id").alias("id"), "priority", "items")
+            return match_classes(ws, ranked_, by, largest_first)
+        if by:
+            # Groups have variables of their own, so their tuples never conflict.
+            group = F.to_json(F.struct(*by))
+            own = F.transform("items", lambda x: F.struct(F.concat(group, x["var"]).alias("var"), x["value"].alias("value")))
+            tuples = tuples.withColumn("items", own)
+        return _first_fit(ws, tuples, by, max_rounds)
 
 
-def _first_fit(ws: Workspace, tuples: DataFrame, seed, max_rounds: int) -> DataFrame:
-    if "priority" not in tuples.columns:
-        tuples = tuples.withColumn("priority", hash_priority(F.col("tuple_id"), seed))
+def _first_fit(ws: Workspace, tuples: DataFrame, by: list[str], max_rounds: int) -> DataFrame:
     state, seen = ws.measured(
         tuples.select(
+            *by,
             F.col("tuple_id").alias("id"),
             "items",
             "priority",
@@ -55,7 +80,7 @@ def _first_fit(ws: Workspace, tuples: DataFrame, seed, max_rounds: int) -> DataF
     )
     schema, names, fresh, number = state.schema, [], None, 0
     if not seen["rows"]:
-        return state.select("id", "color")
+        return state.select(*by, "id", "color")
     while True:
         number += 1
         if number > max_rounds:
@@ -76,7 +101,7 @@ def _first_fit(ws: Workspace, tuples: DataFrame, seed, max_rounds: int) -> DataF
         ws.drop(f"state{number - 1}/fixed=false")
         names.append(now)
         if seen["rows"] == seen["fixed"]:
-            done = ws.write(ws.half(schema, names, "fixed", True).select("id", "color"), "result")
+            done = ws.write(ws.half(schema, names, "fixed", True).select(*by, "id", "color"), "result")
             ws.finish("result")
             return done
         fresh = ws.half(schema, [now], "fixed", True)

@@ -18,6 +18,7 @@ from ..operators.coloring import color_greedy, color_repair, color_rounds, n_col
 from ..operators.cover import greedy_set_cover
 from ..operators.domains import all_rows, domains, synthetic_domain
 from ..operators.graphs import conflict_graph, vertices_of
+from ..operators.tuple_coloring import color_tuples
 from ..operators.tuples import all_tuples, incidence, tway_tuples
 from .workspace import Workspace
 
@@ -97,16 +98,22 @@ def _run(
         )
         sizes = solved.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
     else:
-        tuples = ws.write(tuples, "tuples")
-        edges = conflict_graph(tuples, by=["config"])
-        solved = COLORINGS[algo](
-            _repeat(tuples.select("config", F.col("tuple_id").alias("id")), trials),
-            _edges_of_trials(edges, trials, algo),
-            by=key,
-            priority=lambda id_: hash_priority(id_, seed, F.col("trial")),
-        )
+        rank = lambda id_: hash_priority(id_, seed, F.col("trial"))
+        if algo == "color_greedy":
+            # First fit on tuples needs none of their conflicts written.
+            solved = color_tuples(_repeat(tuples, trials), by=key, priority=rank)
+        else:
+            tuples = ws.write(tuples, "tuples")
+            edges = conflict_graph(tuples, by=["config"])
+            solved = COLORINGS[algo](
+                _repeat(tuples.select("config", F.col("tuple_id").alias("id")), trials),
+                _edges_of_trials(edges, trials, algo),
+                by=key,
+                priority=rank,
+            )
         sizes = n_colors(solved, key).select(*key, F.col("colors").alias("size"))
     sizes = ws.write(sizes, "sizes")
+    ws.finish("sizes")
     seconds = time.monotonic() - began
     listed = spark.createDataFrame(configs, "config int, t int, n int, v bigint")
     return sizes.join(F.broadcast(listed), "config").select(

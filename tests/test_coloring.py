@@ -299,3 +299,69 @@ def test_trials_share_stored_edges(spark, options):
     for trial in (1, 2, 3):
         priority = {i: hashlib.md5(f"5:{trial}:{i}".encode()).hexdigest() for i in ids}
         assert {r["id"]: r["color"] for r in got if r["trial"] == trial} == first_fit(priority, edges)
+
+
+def matched_classes(tuples, largest_first):
+    """Batch colouring in memory: tuples are (id, rank, {var: value})."""
+    subsets = {}
+    for id_, rank, held in tuples:
+        subsets.setdefault(tuple(sorted(held)), []).append((rank, id_, held))
+    classes, out = {}, {}
+    for vars_ in sorted(subsets, key=lambda s: (-len(subsets[s]) if largest_first else 0, s)):
+        waiting = sorted(subsets[vars_], key=lambda t: t[:2])
+        before = {c: set(h) & set(vars_) for c, h in classes.items()}
+        for shape in sorted({tuple(sorted(b)) for b in before.values()}, key=lambda p: (-len(p), p)):
+            open_ = {}
+            for c in sorted(c for c, b in before.items() if b == set(shape)):
+                open_.setdefault(tuple(classes[c][v] for v in shape), []).append(c)
+            left = []
+            for t in waiting:
+                fits = open_.get(tuple(t[2][v] for v in shape), [])
+                if fits:
+                    out[t[1]] = fits.pop(0)
+                    classes[out[t[1]]].update(t[2])
+                else:
+                    left.append(t)
+            waiting = left
+        for t in waiting:
+            out[t[1]] = len(classes) + 1
+            classes[out[t[1]]] = dict(t[2])
+    return out
+
+
+@pytest.mark.parametrize("largest_first", [True, False])
+def test_color_tuples_in_batches(spark, largest_first):
+    rnd = random.Random(2)
+    rows = [tuple(rnd.choice("abcdef"[: n + 2]) for n in range(4)) for _ in range(60)]
+    df = spark.createDataFrame(rows, "p string, q string, r string, s string")
+    tuples = ct.tway_tuples(df, ["p", "q", "r", "s"], 2)
+    found = ct.color_tuples(tuples, seed=3, batch=True, largest_first=largest_first)
+    plain = [
+        (r["tuple_id"], hashlib.md5(f"3:{r['tuple_id']}".encode()).hexdigest(), {i["var"]: i["value"] for i in r["items"]})
+        for r in tuples.collect()
+    ]
+    assert colors(found) == matched_classes(plain, largest_first)
+    # A valid colouring: every class merges into one row.
+    merged = ct.rows_from_coloring(tuples, found, ["p", "q", "r", "s"]).count()
+    assert merged == max(colors(found).values()) >= max(len({(r[2], r[3]) for r in rows}), 1)
+
+
+@pytest.mark.parametrize("batch", [False, True])
+def test_color_tuples_by_groups(spark, batch):
+    rnd = random.Random(5)
+    parts = []
+    for k in ("x", "y"):
+        rows = [tuple(rnd.choice("abc") for _ in range(3)) for _ in range(9)]
+        df = spark.createDataFrame(rows, "p string, q string, r string")
+        parts.append(ct.tway_tuples(df, ["p", "q", "r"], 2).withColumn("k", F.lit(k)))
+    found = ct.color_tuples(parts[0].union(parts[1]), batch=batch, by=["k"]).collect()
+    for k, part in zip("xy", parts):
+        alone = ct.color_tuples(part.drop("k"), batch=batch)
+        if batch:
+            # Subsets are ordered by their tuples in all groups; sizes decide nothing here but the order.
+            assert ct.validate_coloring(
+                spark.createDataFrame([(r["id"], r["color"]) for r in found if r["k"] == k], "id string, color int"),
+                ct.conflict_graph(part.drop("k")),
+            ).count() == 0
+        else:
+            assert {r["id"]: r["color"] for r in found if r["k"] == k} == colors(alone)
