@@ -198,6 +198,34 @@ def _cover(pairs: str, tie: str, select: str) -> str:
     {select}"""
 
 
+def _batched_cover(pairs, eps) -> str:
+    """Rounds of near-best sets: elements go to their first able set, then to their first accepted one.
+
+    The recursion carries the pairs that are left, and for a covered element the pair that covers it.
+    """
+    keep = 1 - eps
+    return f"""WITH RECURSIVE pair AS MATERIALIZED (SELECT DISTINCT s, e, md5('0:' || s) AS h FROM ({pairs})),
+    r AS (
+      SELECT 0 AS round, s, e, h, false AS done FROM pair
+      UNION ALL
+      SELECT round + 1, s, e, h, taken IS NOT NULL FROM (
+        SELECT *, min(CASE WHEN able AND n >= best * {keep} * {keep} THEN h END) OVER (PARTITION BY e) AS taken
+        FROM (
+          SELECT *, count(CASE WHEN able AND h = first THEN 1 END) OVER (PARTITION BY s) AS n FROM (
+            SELECT *, min(CASE WHEN able THEN h END) OVER (PARTITION BY e) AS first FROM (
+              SELECT *, g >= best * {keep} AS able FROM (
+                SELECT *, max(g) OVER () AS best FROM (
+                  SELECT *, count(*) OVER (PARTITION BY s) AS g FROM r WHERE NOT done))))))
+      WHERE taken IS NULL OR h = taken),
+    picked AS (SELECT round, s, count(*) AS gain FROM r WHERE done GROUP BY round, s),
+    price AS (SELECT e, 1000000000000 // gain AS price FROM r JOIN picked USING (round, s) WHERE done),
+    load AS (SELECT sum(price) AS load FROM pair JOIN price USING (e) GROUP BY s)
+    SELECT CAST(row_number() OVER (ORDER BY round, gain DESC, s) AS INT) AS step, s AS set_id, gain,
+      CAST(((SELECT sum(price) FROM price) + (SELECT max(load) FROM load) - 1) // (SELECT max(load) FROM load)
+        AS BIGINT) AS at_least
+    FROM picked"""
+
+
 SUPPLY = "SELECT 0 AS k, l_suppkey AS s, l_partkey AS e FROM lineitem"
 PICKS = "SELECT step, pick AS set_id, gain FROM picked"
 COLORS = "SELECT id, color FROM colored"
@@ -352,8 +380,7 @@ def build() -> dict[str, str]:
         "greedy_cover_of_orders": _cover(
             f"SELECT 0 AS k, r AS s, x AS e FROM ({_incidence(ORDERS, ORDER, 2)})", "0", PICKS
         ),
-        "greedy_set_cover_batched": """SELECT 'covered' AS what,
-            CAST(count(DISTINCT l_partkey) AS BIGINT) AS n FROM lineitem""",
+        "greedy_set_cover_batched": _batched_cover(SUPPLY, 0.5),
         "cover_trials": _cover(
             f"""SELECT t.k, r AS s, x AS e
             FROM ({_incidence("lineitem", FLAGS, 2)}), {_trials(3)} t""",

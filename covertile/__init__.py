@@ -9,7 +9,7 @@ from .operators.coloring import (
     rows_from_coloring,
     validate_coloring,
 )
-from .operators.cover import greedy_hitting_set, greedy_set_cover, uncovered
+from .operators.cover import certified, greedy_hitting_set, greedy_set_cover, uncovered
 from .operators.domains import all_rows, domains, synthetic_domain
 from .operators.graphs import (
     adjacency,

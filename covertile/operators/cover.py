@@ -23,6 +23,9 @@ from .tuples import swap
 # The pairs are written anew when half the elements are covered and at least this many are stored.
 COMPACT_ROWS = 4_000_000
 
+#: Parts of one, as elements pay for picks.
+PRICE = 10**12
+
 TIES = ("id", "hash", "distance", "redraw")
 
 
@@ -207,6 +210,37 @@ def greedy_hitting_set(pairs: DataFrame, **options) -> DataFrame:
     return picks.withColumnRenamed("set_id", "elem_id")
 
 
+def certified(pairs: DataFrame, picks: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``picks`` with ``at_least``: no cover of ``pairs`` has fewer sets, so the picks are that near to the best.
+
+    Dual fitting: an element pays ``1 / gain`` of the first pick that covers it, so the elements pay for
+    all picks. If no set holds elements that pay more than ``most`` together, then every cover has
+    at least ``paid / most`` sets. Payments are whole numbers of ``1 / PRICE``, so the bound does not
+    depend on the order of sums; any payments give a valid one.
+    """
+    by = list(by)
+    pairs = pairs.where("set_id IS NOT NULL AND elem_id IS NOT NULL").select(*by, "set_id", "elem_id").distinct()
+    price = F.expr(f"{PRICE} div first.gain").alias("price")
+    with Workspace(pairs.sparkSession, "certified") as ws:
+        prices = ws.write(
+            pairs.join(picks.select(*by, "set_id", "step", "gain"), [*by, "set_id"])
+            .groupBy(*by, "elem_id")
+            .agg(F.min(F.struct("step", "gain")).alias("first"))
+            .select(*by, "elem_id", price),
+            "prices",
+        )
+        loads = pairs.join(prices, [*by, "elem_id"]).groupBy(*by, "set_id").agg(F.sum("price").alias("load"))
+        most = ws.write(loads.groupBy(*by).agg(F.max("load").alias("most")), "most")
+        paid = prices.groupBy(*by).agg(F.sum("price").alias("paid"))
+        if by:
+            bounds = ws.write(paid.join(most, by).selectExpr(*by, "(paid + most - 1) div most AS at_least"), "bounds")
+            ws.finish("bounds")
+            return picks.join(bounds, by)
+        total, limit = paid.first()["paid"], most.first()["most"]
+        ws.finish()
+    return picks.withColumn("at_least", F.lit(-(-total // limit) if limit else 0).cast("bigint"))
+
+
 def uncovered(pairs: DataFrame, picks: DataFrame, by: list[str] = ()) -> DataFrame:
     """Elements no picked set contains; empty for a valid cover."""
     by = list(by)

@@ -1,7 +1,9 @@
 import hashlib
 import random
+from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 import covertile as ct
 from covertile.plans.workspace import Workspace
@@ -198,6 +200,29 @@ def test_batched_picks_follow_the_rule(spark, batch):
     assert picks(ct.greedy_set_cover(frame(spark, pairs), batch=batch)) == plain_batch(pairs, batch)
 
 
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_certificate_is_a_lower_bound(spark, by):
+    pairs = random_pairs(2, sets=9, elems=12, n=40)
+    df = frame(spark, pairs).withColumn("k", F.lit(1))
+    found = ct.certified(df, ct.greedy_set_cover(df, batch=0.5, by=by), by=by).collect()
+    held = {}
+    for s, e in pairs:
+        held.setdefault(s, set()).add(e)
+    every = set().union(*held.values())
+    least = next(
+        n for n in range(1, 10) if any(set().union(*(held[s] for s in c)) == every for c in combinations(held, n))
+    )
+    # The bound by fractions, from the picks in order.
+    price, left = {}, set(every)
+    for row in sorted(found, key=lambda r: r["step"]):
+        for e in held[row["set_id"]] & left:
+            price[e] = 10**12 // row["gain"]
+        left -= held[row["set_id"]]
+    most = max(sum(price[e] for e in members) for members in held.values())
+    assert {r["at_least"] for r in found} == {-(-sum(price.values()) // most)}
+    assert 1 <= found[0]["at_least"] <= least <= len(found)
+
+
 @pytest.mark.parametrize("batch", [None, 0.5])
 def test_null_pairs_and_no_pairs(spark, batch):
     df = spark.createDataFrame([(None, 1), (2, 3), (4, None)], "set_id bigint, elem_id bigint")
