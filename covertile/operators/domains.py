@@ -53,17 +53,12 @@ def indexed(ws: Workspace, domain: DataFrame, name: str = "domain") -> tuple[Dat
     return numbered, sizes
 
 
-def product(
-    ws: Workspace, numbered: DataFrame, sizes: dict[str, int], subsets: list[tuple[str, ...]]
-) -> DataFrame:
-    """``(subset, code, items)`` for every combination of values of every variable subset.
+def mixed_radix(spark: SparkSession, sizes: dict[str, int], subsets: list[tuple[str, ...]]) -> DataFrame:
+    """``(subset, vars, strides, radix, total)``: how combinations of a subset are numbered.
 
-    Combination number ``code`` of a subset is read as a mixed-radix number whose digits are
-    positions in the domains, so the combinations come from a generated range and one equality
-    join per digit. The range is cut into short pieces, hence one huge subset spreads evenly.
+    Combination number ``code`` of a subset is a mixed-radix number whose digits are positions in the
+    domains.
     """
-    spark = ws.spark
-    width = len(subsets[0])
     plan = []
     for number, subset in enumerate(subsets):
         strides, total = [], 1
@@ -73,10 +68,21 @@ def product(
         if total >= 1 << 63:
             raise ValueError(f"the combinations of {subset} do not fit a 64-bit number")
         plan.append((number, list(subset), strides, [sizes[v] for v in subset], total))
-    table = spark.createDataFrame(
+    return spark.createDataFrame(
         plan,
         "subset int, vars array<string>, strides array<bigint>, radix array<bigint>, total bigint",
     )
+
+
+def product(
+    ws: Workspace, numbered: DataFrame, sizes: dict[str, int], subsets: list[tuple[str, ...]]
+) -> DataFrame:
+    """``(subset, code, items)`` for every combination of values of every variable subset.
+
+    The combinations come from a generated range and one equality join per digit. The range is cut
+    into short pieces, hence one huge subset spreads evenly.
+    """
+    table = mixed_radix(ws.spark, sizes, subsets)
     pieces = table.withColumn(
         "piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(total - 1) div {PIECE}")))
     ).repartition("subset", "piece")
@@ -89,6 +95,11 @@ def product(
             )
         ),
     )
+    return decoded(codes, numbered, len(subsets[0]))
+
+
+def decoded(codes: DataFrame, numbered: DataFrame, width: int) -> DataFrame:
+    """``(subset, code, items)`` of ``codes``, which hold the columns of :func:`mixed_radix`."""
     for i in range(width):
         digit = numbered.select(
             F.col("var").alias(f"var{i}"),

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tuple_id
+from ..plans.ranks import ranked
 from ..plans.workspace import Workspace
 from .checks import check_strength
-from .domains import domains, indexed, product
+from .domains import PIECE, decoded, domains, indexed, mixed_radix, product
 
 
 def column_subsets(cols: list[str], t: int, mode: str = "all") -> list[tuple[str, ...]]:
@@ -173,8 +174,48 @@ def coverage(
 def missing_tuples(
     df: DataFrame, cols: list[str], t: int, domain: DataFrame | None = None
 ) -> DataFrame:
-    """``(tuple_id, items)`` of the t-tuples of the domain that no row of ``df`` contains."""
-    domain = domains(df, cols) if domain is None else domain
-    return all_tuples(domain, t, cols).join(
-        tway_tuples(df, cols, t).select("tuple_id"), "tuple_id", "left_anti"
-    )
+    """``(tuple_id, items)`` of the t-tuples of the domain that no row of ``df`` contains.
+
+    Observed tuples are numbered as the combinations of their subset are, and only the gaps between
+    neighbouring numbers are generated: the work grows with what is seen and what is missing, not with
+    the combinations. Values outside a given domain take no part.
+    """
+    spark = df.sparkSession
+    with Workspace(spark, "missing") as ws:
+        numbered, sizes = indexed(ws, domains(df, cols) if domain is None else domain.select("var", "value").distinct())
+        # A variable without values has no combinations.
+        subsets = [s for s in column_subsets(cols, t) if all(v in sizes for v in s)]
+        if not subsets:
+            ws.finish()
+            return spark.createDataFrame([], "tuple_id string, items array<struct<var:string,value:string>>")
+        # One row for each column subset.
+        table = F.broadcast(mixed_radix(spark, sizes, subsets))
+        seen = _explode_subsets(df.select(*cols).distinct(), cols, subsets).select("items").distinct()
+        seen = seen.withColumn("vars", F.transform("items", lambda x: x["var"])).join(table, "vars")
+        for i in range(t):
+            digit = numbered.select(
+                F.col("var").alias(f"var{i}"), F.col("value").alias(f"value{i}"), F.col("pos").alias(f"pos{i}")
+            )
+            seen = (
+                seen.withColumn(f"var{i}", F.col("vars")[i])
+                .withColumn(f"value{i}", F.col("items")[i]["value"])
+                .join(digit, [f"var{i}", f"value{i}"])
+            )
+        code = sum((F.col(f"pos{i}") * F.col("strides")[i] for i in range(t)), F.lit(0).cast("bigint"))
+        ends = table.select("subset", F.explode(F.array(F.lit(-1).cast("bigint"), "total")).alias("code"))
+        codes = seen.select("subset", code.alias("code")).union(ends)
+        placed = ranked(ws, codes, ["subset"], [F.col("code")], "codes", "place")
+        after = placed.select("subset", (F.col("place") - 1).alias("place"), F.col("code").alias("upto"))
+        gaps = placed.join(after, ["subset", "place"]).where("upto - code > 1")
+        pieces = gaps.select(
+            "subset",
+            "upto",
+            F.explode(F.sequence(F.col("code") + 1, F.col("upto") - 1, F.lit(PIECE).cast("bigint"))).alias("begin"),
+        ).repartition("subset", "begin")
+        missing = pieces.select(
+            "subset",
+            F.explode(F.sequence(F.col("begin"), F.least(F.col("begin") + PIECE, F.col("upto")) - 1)).alias("code"),
+        )
+        found = decoded(missing.join(table, "subset"), numbered, t)
+        ws.finish("domain", "codes")
+        return found.select(tuple_id(F.col("items")).alias("tuple_id"), "items")

@@ -114,6 +114,25 @@ def test_coverage_and_missing(spark, df):
     assert found == {md5(x) for x in absent}
 
 
+@pytest.mark.parametrize("piece", [1 << 16, 3])
+def test_missing_tuples_are_the_gaps(spark, monkeypatch, piece):
+    monkeypatch.setattr("covertile.operators.tuples.PIECE", piece)
+    rows = [(str(i % 7), str(i % 5), "z") for i in range(0, 35, 3)] + [("9", None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    got = ct.missing_tuples(df, ["a", "b", "c"], 2)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "Join Cross" not in plan
+    found = {tuple(sorted((i["var"], i["value"]) for i in r["items"])) for r in got.collect()}
+    domain = {c: {r[i] for r in rows if r[i] is not None} for i, c in enumerate("abc")}
+    want = set()
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        x, y = "abc"[i], "abc"[j]
+        want |= {((x, p), (y, q)) for p, q in product(domain[x], domain[y])} - {((x, r[i]), (y, r[j])) for r in rows}
+    assert found == want and got.count() == len(want)
+    empty = df.where("a = 'none'")
+    assert ct.missing_tuples(empty, ["a", "b", "c"], 2).count() == 0
+
+
 def test_coverage_of_a_given_domain(spark, df):
     domain = spark.createDataFrame(
         [("a", "x"), ("a", "z"), ("b", "1"), ("b", "7")], "var string, value string"
