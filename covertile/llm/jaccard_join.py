@@ -46,7 +46,8 @@ SKETCH = 256
 HOT_SETS = 32
 HOT_LIST = 200_000
 WIDEN = 16
-BROADCAST_BYTES = 16 << 20
+#: Small tables are broadcast up to so many bytes as written; beyond, both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
 _UNIT = 1 << 20
 
 
@@ -150,9 +151,7 @@ def _texts(
 
     What is looked up is broadcast while it is small as written; else both sides are shuffled.
     """
-    wanted = ws.write(sets.select(*columns, F.col("place").alias(place)), name)
-    if ws.bytes(name) <= BROADCAST_BYTES:
-        wanted = F.broadcast(wanted)
+    wanted = _small(ws, sets.select(*columns, F.col("place").alias(place)), name)
     return marked.select(place, F.col(text).alias("text")).join(wanted, place)
 
 
@@ -171,6 +170,25 @@ def _folded(sketch: str) -> Column:
     )
 
 
+def _bits(a: str, b: str) -> Column:
+    """In how many bits two folded sketches differ."""
+    return sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(SKETCH // 64)), F.lit(0))
+
+
+def _small(ws: Workspace, df: DataFrame, name: str) -> DataFrame:
+    """``df`` written, to be broadcast if it is small."""
+    df = ws.write(df, name)
+    return F.broadcast(df) if ws.bytes(name) <= BROADCAST_BYTES else df
+
+
+def _folds(members: DataFrame) -> DataFrame:
+    """(g, fold, radius) of every group."""
+    least = members.where("node = g").select("g", _folded("sketch").alias("fold"))
+    others = members.where("m > 1").select("g", _folded("sketch").alias("own")).join(least, "g")
+    radius = others.groupBy("g").agg(F.max(_bits("own", "fold")).alias("radius"))
+    return least.join(radius, "g", "left").select("g", "fold", F.coalesce("radius", F.lit(0)).alias("radius"))
+
+
 def _hot_first_run(ws: Workspace, sets: DataFrame, marked: DataFrame, place: str, text: str) -> DataFrame:
     """``sets`` with prefixes in the order that puts hot shingles last."""
     counts = sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("b"))
@@ -211,17 +229,19 @@ def _groups(ws: Workspace, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _entries(ws: Workspace, groups: DataFrame) -> DataFrame:
     """(token, g, n, m, pos) of every shingle in several prefixes, with its pivot and bucket size.
 
-    ``kind`` is the class of a group whose members are all of one, once that is known, and ``fold`` the
-    folded sketch of a group of one member.
+    ``kind`` is the class of a group whose members are all of one, once that is known; ``fold`` is the folded
+    sketch of its least member and ``radius`` how many bits other members differ from that at most.
     """
     index = groups.select("g", "n", "m", F.posexplode("prefix").alias("pos", "token"))
     counts = index.groupBy("token").agg(F.count(F.lit(1)).alias("b")).where("b > 1")
-    several = ws.write(index.join(ws.write(counts, "tokens"), "token"), "several")
+    several = ws.write(index.join(_small(ws, counts, "tokens"), "token"), "several")
     pivots = several.groupBy("token").agg(
         F.max("m").alias("widest"), F.min(F.struct("g", "n", "pos")).alias("pivot")
     )
-    entries = several.join(ws.write(pivots, "pivots"), "token")
-    unknown = {"kind": F.lit(None).cast("bigint"), "fold": F.lit(None).cast("array<bigint>")}
+    entries = several.join(_small(ws, pivots, "pivots"), "token")
+    unknown = {
+        "kind": F.lit(None).cast("bigint"), "fold": F.lit(None).cast("array<bigint>"), "radius": F.lit(0)
+    }
     return ws.write(entries.withColumns(unknown), "entries")
 
 
@@ -235,11 +255,12 @@ def _group_pairs(entries: DataFrame, width: int) -> DataFrame:
     level = _level(F.col("g"), F.col("pivot.g"), F.col("b"))
     pivots = entries.select(
         "token", F.col("g").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("kind").alias("kind_a"),
-        F.col("fold").alias("fold_a"), level.alias("level"),
+        F.col("fold").alias("fold_a"), F.col("radius").alias("radius_a"), level.alias("level"),
     ).where(F.col("level") <= width)
-    others = entries.select("token", F.col("g").alias("b"), "n", "pos", "kind", "fold")
-    differ = sum((F.bit_count(F.get("fold", i).bitwiseXOR(F.get("fold_a", i))) for i in range(SKETCH // 64)), F.lit(0))
-    near = _near(F.coalesce(differ, F.lit(0)), F.col("na"), F.col("n"))
+    others = entries.select("token", F.col("g").alias("b"), "n", "pos", "kind", "fold", "radius")
+    # Members are no nearer to each other than their least ones less what they differ from those.
+    apart = F.coalesce(_bits("fold", "fold_a"), F.lit(0)) - F.col("radius") - F.col("radius_a")
+    near = _near(apart, F.col("na"), F.col("n"))
     met = others.join(pivots, "token").where("a <> b AND (kind IS NULL OR kind_a IS NULL OR kind <> kind_a)")
     met = met.where(near).where(
         _may_link(F.col("na"), F.col("i"), F.col("n"), F.col("pos"))
@@ -290,7 +311,7 @@ def _verified(ws: Workspace, pairs: DataFrame, sets: DataFrame, marked: DataFram
     )
 
 
-def _still_open(ws: Workspace, entries: DataFrame, members: DataFrame, width: int, number: int):
+def _still_open(ws: Workspace, entries: DataFrame, members: DataFrame, folds: DataFrame, width: int, number: int):
     """Entries of buckets and groups that have untested pairs of different classes."""
     spans = members.groupBy("g").agg(F.max("m").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
     alone = spans.where((F.col("m") > max(width, 2)) & (F.col("low") < F.col("high")))
@@ -298,17 +319,16 @@ def _still_open(ws: Workspace, entries: DataFrame, members: DataFrame, width: in
     if not width:
         wide = (F.col("b") > 2) | (F.col("widest") > 1)
     one = F.when(F.col("low") == F.col("high"), F.col("low")).alias("kind")
-    folds = members.where("m = 1").select("g", _folded("sketch").alias("fold"))
-    known = spans.select("g", "low", "high", one).join(folds, "g", "left")
-    tagged = entries.where(wide).drop("kind", "fold").join(known, "g")
+    known = _small(ws, spans.select("g", "low", "high", one), f"spans{number}")
+    tagged = entries.where(wide).drop("kind", "fold", "radius").join(known, "g")
     ends = (
         tagged.groupBy("token")
         .agg(F.min("low").alias("low"), F.max("high").alias("high"))
         .where("low < high")
         .select("token")
     )
-    ends = ws.write(ends, f"open_tokens{number}")
-    left = tagged.join(ends, "token", "left_semi").select(*entries.columns)
+    ends = _small(ws, ends, f"open_tokens{number}")
+    left = tagged.join(ends, "token", "left_semi").join(folds, "g").select(*entries.columns)
     left, seen = ws.measured(left, f"open{number}")
     ws.drop(f"open{number - 1}" if number else "entries")
     groups, several = ws.measured(alone.select("g"), f"open_groups{number}")
@@ -355,6 +375,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scan: b
         ws.drop("made")
         ordered = _hot_first_run(ws, sets, marked, place, text)
         groups, members = _groups(ws, ordered)
+        folds = _small(ws, _folds(members), "folds")
         entries = _entries(ws, groups)
         for stage in ("tokens", "several", "pivots"):
             ws.drop(stage)
@@ -373,7 +394,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scan: b
                     links = found if links is None else links.union(found)
                     labels = _labels(spark, links)
                     now = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            entries, lone, waiting = _still_open(ws, entries, now, width, number)
+            entries, lone, waiting = _still_open(ws, entries, now, folds, width, number)
             if not waiting:
                 break
             before, width, number = width, WIDEN * max(width, 1), number + 1
