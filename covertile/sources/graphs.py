@@ -18,7 +18,7 @@ from ..operators.graphs import undirected
 GRAPHVIZ_VERTEX = r"^\s*\d+\s*(\[.*|;.*|//.*|#.*)?$"
 GRAPHVIZ_CHAIN = r"^\s*\d+(\s*(--|->)\s*\d+)+"
 # A chain that goes on to something that is no number, as a subgraph or a quoted id.
-GRAPHVIZ_TAIL = GRAPHVIZ_CHAIN + r"\s*(--|->)"
+GRAPHVIZ_TAIL = r"^\s*\d++(\s*(--|->)\s*\d++)++\s*(--|->)"
 GRAPHVIZ_OTHER = r"^\s*(\d+)\s+[^\s\[;]+\s+(\d+)"
 GRAPHVIZ_ID = r"^\s*\d"
 # A `;` with an id after it, and the statements between such: quotes, brackets and comments stay whole.
