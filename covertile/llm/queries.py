@@ -209,7 +209,7 @@ GROUP BY d.id, i.id, z.item_shingles HAVING 5 * count(*) >= 4 * z.item_shingles
 UNION ALL
 SELECT d.id, i.id, 1, 1
 FROM doc_words d JOIN item_words i ON len(i.w) BETWEEN 1 AND 4
-WHERE len(list_filter(range(1, len(d.w) - len(i.w) + 2), p -> d.w[p : p + len(i.w) - 1] = i.w)) > 0""",
+WHERE len(list_filter(range(1, len(d.w) - len(i.w) + 2), lambda p: d.w[p : p + len(i.w) - 1] = i.w)) > 0""",
     "op12_jaccard_join": r"""
 WITH RECURSIVE cut AS (
   SELECT doc_id, regexp_extract_all(
