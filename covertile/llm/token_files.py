@@ -22,7 +22,7 @@ import struct
 import uuid
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 from unicodedata import is_normalized
 
@@ -45,34 +45,40 @@ HAS_CHECKSUMS = 0x80
 
 FRAME_IDS = 1 << 16
 LEVEL = 3
-KEPT_RUNS = 400_000
+KEPT_RUNS = 600_000
 SLICE = 500
 LETTER_THEN_MARK = re.compile(rb"(?<=[A-Za-z])[!-&(-/:-@\[-`{-~]")
 END_ID = 1
+LETTERS = 0x250
+#: The characters that stand for single bytes in byte-level vocabularies: printable ones for themselves.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-class Kept:
-    """A bounded dictionary in two generations: what a whole generation did not ask for goes."""
+class Kept(dict):
+    """A bounded dictionary in two generations that makes what it lacks: a full one becomes the old one."""
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, size: int, made: Callable[[bytes], bytes]):
+        self.size, self.made, self.old = size, made, {}
 
-    def missing(self, keys: set[bytes]) -> set[bytes]:
-        """The keys without a value; the others are in ``young`` until the next call."""
-        new = keys.difference(self.young)
-        if len(self.young) + len(new) > self.size:
-            self.old, self.young, new = self.young, {}, keys
-        back = {k: self.old[k] for k in new if k in self.old}
-        self.young.update(back)
-        return new.difference(back)
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
     """Whole texts to the bytes of their ids, exactly as the tokenizer gives them.
 
     The tokenizer drops white space and never joins text across it, so a text is encoded run by
-    run between ASCII white space, and runs met before come from a bounded dictionary. Two steps
-    make runs repeat without changing ids (see :meth:`runs_of`).
+    run between ASCII white space, and runs met before come from a bounded dictionary. A new run is
+    made of shorter ones if it can be cut, and a run of small letters goes to the model of the
+    tokenizer directly (see :meth:`made`).
     """
 
     def __init__(self, path: str):
@@ -81,17 +87,42 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = np.dtype(self.dtype).itemsize
         self.end = np.array([END_ID], self.dtype).tobytes()
-        self.known = Kept(KEPT_RUNS)
+        self.known = Kept(KEPT_RUNS, self.made)
+        # Small letters that neither compose nor change, and that the tokenizer hands to its model as they are.
+        small = [c for c in map(chr, range(LETTERS)) if c.isalpha() and c == c.lower()]
+        self.letters = frozenset(c for c in small if all(self._plain(x) == self._modelled(x) for x in (c, f"a{c}a")))
+
+    def _packed(self, ids: Iterable[int]) -> bytes:
+        return b"".join([i.to_bytes(self.width, "little") for i in ids])
+
+    def _plain(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _modelled(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(BYTE_CHARS)
+        return self._packed([t.id for t in self.tokenizer.model.tokenize(mapped)])
+
+    def made(self, run: bytes) -> bytes:
+        """The ids of a run not met before.
+
+        Punctuation after a letter starts a piece of its own (an apostrophe may not), so a run may be
+        cut there, unless it may hold a special token.
+        """
+        if b"<|" not in run:
+            parts = LETTER_THEN_MARK.sub(rb" \g<0>", run).split()
+            if len(parts) > 1:
+                return b"".join([self.known[p] for p in parts])
+        text = run.decode("utf-8")
+        return self._modelled(text) if self.letters.issuperset(text) else self._plain(text)
 
     @staticmethod
     def runs_of(text: str | None) -> list[bytes]:
         """Runs whose ids, one after the other, are those of the text.
 
         The tokenizer composes (NFC) and lower-cases, so A-Z may be lower-cased first, if there is
-        nothing to compose before and after. Punctuation after a letter starts a piece of its own
-        (an apostrophe may not), so a run may be cut there. Texts that hold special tokens are
-        left alone.
+        nothing to compose before and after. Texts that hold special tokens are left alone.
         """
         if not text:
             return []
@@ -101,24 +132,11 @@ class Encoder:
         low = raw.lower()
         if text.isascii() or (is_normalized("NFC", text) and is_normalized("NFC", low.decode("utf-8"))):
             raw = low
-        return LETTER_THEN_MARK.sub(rb" \g<0>", raw).split()
+        return raw.split()
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        parts = list(map(self.runs_of, texts))
-        new = list(self.known.missing(set().union(*parts)))
-        known = self.known.young
-        if new:
-            found = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8") for w in new], add_special_tokens=False
-            )
-            # One array for all: a numpy array per run would cost more than its encoding.
-            ids = [e.ids for e in found]
-            flat = np.array([i for x in ids for i in x], self.dtype).tobytes()
-            width, at = len(self.end), 0
-            for run, x in zip(new, ids):
-                known[run] = flat[at : (at := at + width * len(x))]
-        get = known.__getitem__
-        return [b"".join(map(get, p)) + self.end for p in parts]
+        get = self.known.__getitem__
+        return [b"".join(map(get, self.runs_of(t))) + self.end for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}

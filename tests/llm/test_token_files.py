@@ -84,3 +84,20 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     manifest = tf.write_token_files(docs, PATH)
     assert manifest.count() == 0 and tf.read_token_files(spark, manifest).collect() == []
+
+
+def test_runs_of_small_letters_go_to_the_model_and_repeats_to_no_tokenizer(rows):
+    """A call of the tokenizer costs several times its model, so only other runs take one."""
+    plain, encoder = Tokenizer.from_file(PATH), tf.Encoder(PATH)
+    asked = []
+    whole = encoder._plain
+    encoder._plain = lambda text: (asked.append(text), whole(text))[1]
+    words = ["été", "naïve", "straße", "œuvre", "ıslak", "word", "Word,", "e.g.", "łódź"]
+    text = " ".join(words * 20)
+    want = [*plain.encode(text, add_special_tokens=False).ids, 1]
+    assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == want
+    assert sorted(asked) == [",", ".", ".g"]
+    encoder.encode([t for _, t in rows])
+    met = len(asked)
+    encoder.encode([t for _, t in rows])
+    assert len(asked) == met
