@@ -9,8 +9,10 @@ that join over all rounds. Rounds don't shuffle the stored pairs: heads and newl
 small written tables that come to them. A set too large for a head is picked by itself,
 without gathering its pairs; there are at most ``elements / HEAD_PAIRS`` such picks.
 
-The stored pairs are read in part: they are sorted by the size of their set, so a round whose head
-begins at some gain skips the files and row groups of smaller sets.
+The pairs are stored twice as lists: the elements of every set, where a round finds its head, and the
+sets that hold every element, where it finds what to lower. Both are met list by list, so a round
+opens the lists it needs and passes the others by as one row each. Long lists are cut. Those of sets are sorted by
+size, so a round whose head begins at some gain skips the files and row groups of smaller sets.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, MapType, StructType
 
 from ..functions import tie_distance
+from ..plans.lanes import Lanes
 from ..plans.ranks import ranked
 from ..plans.workspace import FOLD, Workspace
 
 #: A head has at most so many sets and pairs for each independent problem.
-HEAD_SETS = 999
-HEAD_PAIRS = 400_000
+HEAD_SETS = 4_999
+HEAD_PAIRS = 2_000_000
+#: A list of stored pairs has about so many entries at most.
+LIST = 10_000
 #: Newly covered elements and heads are broadcast up to so many bytes as written.
 BROADCAST_BYTES = 32 << 20
 
@@ -85,7 +90,7 @@ def _picked(pairs: pd.DataFrame, redraw) -> pd.DataFrame:
     its number for ties.
     """
     order, s = np.unique(pairs["order"].to_numpy(), return_inverse=True)
-    e, _ = pd.factorize(pairs["elem_key"])
+    e, _ = pd.factorize(pairs["elem_key" if "elem_key" in pairs else "elem_id"])
     n, m = len(order), e.max() + 1
     of_set, of_elem = np.argsort(s, kind="stable"), np.argsort(e, kind="stable")
     set_at = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=n))])
@@ -125,6 +130,27 @@ def _settling(redraw_seed, done: int):
     return settle
 
 
+def _of_sets(ws: Workspace, pairs: DataFrame, sizes: DataFrame, own: list[str], name: str) -> DataFrame:
+    """``(own, set_id, size, elems)``, sorted by size; ``sizes`` has a ``gain`` for every set.
+
+    The lists are written before they are sorted, as range bounds are sampled and would make them twice.
+    """
+    sized = pairs.join(sizes.withColumnRenamed("gain", "size"), [*own, "set_id"])
+    cut = F.pmod(F.xxhash64("elem_id"), F.ceil(F.col("size") / F.lit(LIST))).alias("cut")
+    lists = sized.groupBy(*own, "set_id", "size", cut).agg(F.collect_list("elem_id").alias("elems")).drop("cut")
+    lists = ws.write(lists, f"{name}_lists")
+    laid = ws.write(lists.repartitionByRange("size", "set_id").sortWithinPartitions("size", "set_id"), name)
+    ws.drop(f"{name}_lists")
+    return laid
+
+
+def _of_elems(ws: Workspace, pairs: DataFrame, stored: int, own: list[str]) -> DataFrame:
+    """``(own, elem_id, sets)``."""
+    lanes = Lanes(ws, "elem", pairs, [*own, "elem_id"], "set_id", LIST, stored)
+    lists = lanes.tag(pairs).groupBy(*lanes.on).agg(F.collect_list("set_id").alias("sets"))
+    return lists.select(*own, "elem_id", "sets")
+
+
 def exact_cover(
     ws: Workspace,
     pairs: DataFrame,
@@ -145,8 +171,8 @@ def exact_cover(
     elem_key = F.to_json(F.struct("elem_id")) if complex_ else F.col("elem_id")
 
     counts = ws.write(pairs.groupBy(*own, "set_id").agg(F.count(F.lit(1)).alias("gain")), "sizes")
-    sized = pairs.join(counts.withColumnRenamed("gain", "size"), [*own, "set_id"])
-    base = ws.write(sized.repartitionByRange("size", "set_id").sortWithinPartitions("size", "set_id"), "sorted")
+    base = _of_sets(ws, pairs, counts, own, "sorted")
+    holders = ws.write(_of_elems(ws, pairs, stored, own), "holders")
     # A set's place among equals is worked out once, under every key.
     gains = counts
     if copies:
@@ -154,43 +180,45 @@ def exact_cover(
     gains = gains.select(*by, "set_id", "gain", tie.alias("tie"))
     gains, seen = ws.measured(gains, "gains0", left=F.sum("gain"))
 
-    number, done, won_names, covered, schema, base_name = 0, 0, [], [], None, "sorted"
+    number, done, won_names, covered, schema, stages = 0, 0, [], [], None, ("sorted", "holders")
     while seen["rows"]:
         number += 1
         if number > max_rounds:
             raise RuntimeError(f"cover not finished after {max_rounds} rounds")
         now = tie_distance(F.col("set_id"), drawn(redraw_seed, done + 1)) if redraws else F.col("tie")
         head, lowest = ws.measured(
-            _head(gains, by, now, head_sets, head_pairs, redraws), f"head{number}", least=F.min("had")
+            _head(gains, by, now, head_sets, head_pairs, redraws),
+            f"head{number}",
+            least=F.min("had"),
+            solo=F.count_if("solo"),
         )
         met = (
             base.where(F.col("size") >= lowest["least"])
-            .drop("size")
             .join(_small(ws, head, f"head{number}"), [*own, "set_id"])
+            .select(*head.columns, F.explode("elems").alias("elem_id"))
         )
         if covered:
             met = met.join(ws.read(schema, *covered).select(*by, "elem_id"), [*by, "elem_id"], "left_anti")
         met = met.select(
             *by, "set_id", "elem_id", "order", "bound_gain", "bound_order", "solo",
-            elem_key.alias("elem_key"),
-            (F.col("set_id") % 10 if redraws else F.lit(0)).cast("bigint").alias("digit"),
+            *([elem_key.alias("elem_key")] if complex_ else []),
+            *([(F.col("set_id") % 10).cast("bigint").alias("digit")] if redraws else []),
         )
         shape = StructType(met.schema.fields).add("seq", LongType())
         settle = _settling(redraw_seed, done)
         inside = met.where("NOT solo").groupBy(*(by or [F.lit(0).alias("all")]))
-        won = (
-            inside.applyInPandas(settle, shape)
-            .union(met.where("solo").withColumn("seq", F.lit(1).cast("bigint")))
-            .select(*by, "set_id", "elem_id", "seq", F.lit(number).alias("round"))
-        )
+        won = inside.applyInPandas(settle, shape)
+        if lowest["solo"]:
+            won = won.union(met.where("solo").withColumn("seq", F.lit(1).cast("bigint")))
+        won = won.select(*by, "set_id", "elem_id", "seq", F.lit(number).alias("round"))
         won, got = ws.measured(won, f"won{number}", picks=F.max("seq"))
         schema, done = won.schema, done + got["picks"]
         won_names.append(f"won{number}")
         covered.append(f"won{number}")
         fresh = won.select(*by, "elem_id")
         touched = (
-            base.drop("size")
-            .join(_small(ws, fresh, f"won{number}"), [*own, "elem_id"])
+            holders.join(_small(ws, fresh, f"won{number}"), [*own, "elem_id"])
+            .select(*by, F.explode("sets").alias("set_id"))
             .groupBy(*by, "set_id")
             .agg(F.count(F.lit(1)).alias("lost"))
         )
@@ -204,10 +232,13 @@ def exact_cover(
             # Half the pairs are used up: go on from those that are left under any key.
             gone = ws.read(schema, *covered).groupBy(*own, "elem_id").agg(F.count(F.lit(1)).alias("n"))
             gone = gone.where(F.col("n") == (copies[1] if copies else 1)).drop("n")
-            still = base.join(gone, [*own, "elem_id"], "left_anti")
-            base, kept = ws.measured(still.sortWithinPartitions("size", "set_id"), f"sorted{number}")
-            ws.drop(base_name)
-            base_name, stored, covered = f"sorted{number}", kept["rows"], covered if copies else []
+            still = holders.join(gone, [*own, "elem_id"], "left_anti")
+            holders, kept = ws.measured(still, f"holders{number}", pairs=F.sum(F.size("sets")))
+            left = holders.select(*own, "elem_id", F.explode("sets").alias("set_id"))
+            base = _of_sets(ws, left, counts, own, f"sorted{number}")
+            for name in stages:
+                ws.drop(name)
+            stages, stored, covered = (f"sorted{number}", f"holders{number}"), kept["pairs"], covered if copies else []
         if len(covered) >= FOLD:
             ws.write(ws.read(schema, *covered), f"folded{number}")
             for name in covered:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import covertile as ct
+from covertile.operators import exact_cover
 from covertile.plans.workspace import Workspace
 from graphs import greedy_cover
 
@@ -51,6 +52,32 @@ def test_disjoint_groups_take_few_rounds(spark):
     assert picks(found) == greedy_cover(pairs)
 
 
+def test_a_round_settles_thousands_of_sets(spark):
+    pairs = [(s, 2 * s + e) for s in range(2500) for e in range(2)]
+    found = ct.greedy_set_cover(frame(spark, pairs), max_rounds=1)
+    assert picks(found) == [(s + 1, s, 2) for s in range(2500)]
+
+
+@pytest.mark.parametrize("options", [{}, {"head_sets": 6, "compact_rows": 1}], ids=str)
+def test_stored_lists_are_cut_and_lose_no_pair(spark, monkeypatch, options):
+    """Pairs are stored as lists of bounded length, also those of a set or an element in most pairs."""
+    monkeypatch.setattr(exact_cover, "LIST", 3)
+    lists = []
+    write = Workspace.write
+
+    def watch(self, df, name, *args, **kw):
+        out = write(self, df, name, *args, **kw)
+        if name in ("sorted", "holders"):
+            lists.append([len(r[0]) for r in out.select("elems" if name == "sorted" else "sets").collect()])
+        return out
+
+    monkeypatch.setattr(Workspace, "write", watch)
+    pairs = random_pairs(5)
+    assert picks(ct.greedy_set_cover(frame(spark, pairs), **options)) == greedy_cover(pairs)
+    assert [sum(n) for n in lists] == [len(set(pairs))] * 2
+    assert all(max(n) < 12 for n in lists)
+
+
 def test_hitting_set_is_the_dual(spark):
     pairs = random_pairs(3)
     expected = greedy_cover([(e, s) for s, e in pairs])
