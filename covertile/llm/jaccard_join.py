@@ -49,6 +49,8 @@ WIDEN = 16
 #: Small tables are broadcast up to so many bytes as written; beyond, both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 _UNIT = 1 << 20
+#: What is known of all members of a group.
+FAR = "struct<n: bigint, fold: array<bigint>, radius: bigint, kind: bigint>"
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -246,18 +248,23 @@ def _entries(ws: Workspace, groups: DataFrame) -> DataFrame:
 
 
 def _group_pairs(entries: DataFrame, width: int) -> DataFrame:
-    """(a, b, level): groups b that may hold links of the pivot group a, and when a became pivot."""
+    """(a, b, level, far): groups b that may hold links of the pivot group a, and when a became pivot.
+
+    ``far`` holds what is known of all members of b: their size, fold and radius, and their class if they have one.
+    """
     if not width:
         met = entries.where("g <> pivot.g").where(
             _may_link(F.col("pivot.n"), F.col("pivot.pos"), F.col("n"), F.col("pos"))
         )
-        return met.select(F.col("pivot.g").alias("a"), F.col("g").alias("b"), F.lit(0.0).alias("level")).distinct()
+        met = met.select(F.col("pivot.g").alias("a"), F.col("g").alias("b"), F.lit(0.0).alias("level")).distinct()
+        return met.withColumn("far", F.lit(None).cast(FAR))
     level = _level(F.col("g"), F.col("pivot.g"), F.col("b"))
     pivots = entries.select(
         "token", F.col("g").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("kind").alias("kind_a"),
         F.col("fold").alias("fold_a"), F.col("radius").alias("radius_a"), level.alias("level"),
     ).where(F.col("level") <= width)
-    others = entries.select("token", F.col("g").alias("b"), "n", "pos", "kind", "fold", "radius")
+    far = F.struct("n", "fold", "radius", "kind").cast(FAR).alias("far")
+    others = entries.select("token", F.col("g").alias("b"), "n", "pos", "kind", "fold", "radius", far)
     # Members are no nearer to each other than their least ones less what they differ from those.
     apart = F.coalesce(_bits("fold", "fold_a"), F.lit(0)) - F.col("radius") - F.col("radius_a")
     near = _near(apart, F.col("na"), F.col("n"))
@@ -265,7 +272,7 @@ def _group_pairs(entries: DataFrame, width: int) -> DataFrame:
     met = met.where(near).where(
         _may_link(F.col("na"), F.col("i"), F.col("n"), F.col("pos"))
     )
-    return met.groupBy("a", "b").agg(F.min("level").alias("level"))
+    return met.groupBy("a", "b").agg(F.min("level").alias("level"), F.first("far").alias("far"))
 
 
 def _member_pairs(pairs: DataFrame, members: DataFrame, width: int, before: int) -> DataFrame:
@@ -273,7 +280,7 @@ def _member_pairs(pairs: DataFrame, members: DataFrame, width: int, before: int)
     inner = _level(F.col("node"), F.col("g"), F.col("m"))
     ours = members.select(
         F.col("g").alias("a"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"),
-        F.col("root").alias("rx"), inner.alias("inner"),
+        F.col("root").alias("rx"), inner.alias("inner"), _folded("sketch").alias("fx"),
     ).where(F.col("inner") <= width)
     theirs = members.select(
         F.col("g").alias("b"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"),
@@ -285,9 +292,13 @@ def _member_pairs(pairs: DataFrame, members: DataFrame, width: int, before: int)
     )
     differ = F.when(F.size("sx") == F.size("sy"), differ).otherwise(F.lit(0))
     new = F.greatest("level", "inner") > F.lit(before)
+    # A member goes on to a group unless it is too far from all of it, or of its class.
+    apart = _bits("far.fold", "fx") - F.col("far.radius")
+    able = F.coalesce(_near(apart, F.col("nx"), F.col("far.n")), F.lit(True))
+    able = able & F.coalesce(F.col("rx") != F.col("far.kind"), F.lit(True))
     return (
         pairs.join(ours, "a")
-        .where(new)
+        .where(new & able)
         .join(theirs, "b")
         .where("rx <> ry")
         .where(_near(differ, F.col("nx"), F.col("ny")))
@@ -383,7 +394,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scan: b
         width, before, number, links, labels = 0, -1, 0, None, None
         now = members.withColumn("root", F.col("node"))
         while True:
-            within = lone.select(F.col("g").alias("a"), F.col("g").alias("b"), F.lit(0.0).alias("level"))
+            within = lone.select(
+                F.col("g").alias("a"), F.col("g").alias("b"), F.lit(0.0).alias("level"), F.lit(None).cast(FAR).alias("far")
+            )
             pairs, seen = ws.measured(
                 _member_pairs(_group_pairs(entries, width).union(within), now, width, before), f"pairs{number}"
             )

@@ -124,3 +124,25 @@ def test_a_crowd_is_not_paired_off(spark, monkeypatch):
     got = jj.classes(spark.createDataFrame(docs, "doc_id bigint, text string"))
     assert {r.component_id for r in got.collect()} == {0}
     assert sum(seen) < 20 * len(docs)
+
+
+def test_members_too_far_from_a_group_do_not_go_on_to_it(spark):
+    """Pairs of a member and a group are dropped by what is known of the whole group, before it is expanded."""
+    near, far = [0, 0, 0, 0], [-1, 0, 0, 0]
+    rows = [(1, 1, near, 2), (1, 2, far, 2), (3, 3, near + near, 2), (3, 4, near + near, 2)]
+    members = spark.createDataFrame(
+        [(g, m, node, 100, sketch, node) for g, node, sketch, m in rows],
+        "g bigint, m bigint, node bigint, n bigint, sketch array<bigint>, root bigint",
+    )
+
+    def met(radius, kind):
+        known = spark.createDataFrame([(1, 3, 1.0, (100, near, radius, kind))], f"a bigint, b bigint, level double, far {jj.FAR}")
+        return {tuple(r) for r in jj._member_pairs(known, members, 16, 0).collect()}
+
+    both = {(1, 3), (1, 4), (2, 3), (2, 4)}
+    assert met(0, None) == {(1, 3), (1, 4)}
+    assert met(53, None) == {(1, 3), (1, 4)}
+    assert met(54, None) == both
+    assert met(0, 1) == set()
+    unknown = spark.createDataFrame([(1, 3, 1.0, None)], f"a bigint, b bigint, level double, far {jj.FAR}")
+    assert {tuple(r) for r in jj._member_pairs(unknown, members, 16, 0).collect()} == both
