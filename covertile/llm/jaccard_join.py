@@ -5,8 +5,8 @@ words make one shingle. Documents with equal sets are one set from the start, kn
 
 Prefixes. Two sets of sizes n and m can only reach 0.9 if the first ``n - ceil(0.9 n) + 1`` and
 ``m - ceil(0.9 m) + 1`` shingles in one global order have a shingle in common. The order is: rare
-shingles before hot ones, then by hash. Hot ones are counted in a first run over all sets; their
-list has at most ``HOT_LIST`` entries whatever the input. Sets with the same prefix and size form a
+shingles before hot ones, then by hash. Hot ones are counted in a first run over all texts, which keeps
+nothing else; their list has at most ``HOT_LIST`` entries whatever the input. Sets with the same prefix and size form a
 group, and only groups meet: under each shingle of their prefixes, filtered by size and by how many
 shingles can still be shared given the two positions.
 
@@ -15,7 +15,8 @@ width k the smallest member of each bucket and about k seeded others are its piv
 pivot and any other member are looked at unless their classes are one already. A pair of groups is
 expanded to members by the same rule: about k members of one side against all of the other. What
 is left of a pair after a parity sketch (its differing bits never exceed the differing shingles) is
-verified on the whole sets. Buckets whose members are all one class are closed; the width goes
+held against a fine one, a sixteenth to an eighth of the bytes of a set, and only what that leaves is verified
+on the whole sets. Buckets whose members are all one class are closed; the width goes
 from 0 to 16 and grows sixteenfold until none is open, and then every pair was verified or lies
 inside one class. A crowd of near copies thus costs a star or two, not its square, and a bucket is
 never held in one task.
@@ -42,6 +43,8 @@ SHINGLE = 3
 #: A link: 10 * shared >= 9 * united.
 ABOVE, BELOW = 9, 10
 SKETCH = 256
+#: Cells for each shingle, at least, in the sketches that sets are stored with and in those of sets to verify.
+COARSE, FINE = 0.25, 4
 #: A shingle in more prefixes than this is hot, unless there would be more than HOT_LIST of them.
 HOT_SETS = 32
 HOT_LIST = 200_000
@@ -77,10 +80,10 @@ def prefix_of(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate([shingles[~is_hot][:size], shingles[is_hot][:size]])[:size]
 
 
-def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    """Parities of the number of shingles in each cell, packed; a quarter as many cells as shingles, or more."""
+def sketch_of(shingles: np.ndarray, cells: float = COARSE) -> np.ndarray:
+    """Parities of the number of shingles in each cell, packed; ``cells`` for each shingle, or more."""
     size = SKETCH
-    while 4 * size < len(shingles):
+    while size < cells * len(shingles):
         size *= 2
     cells = np.bincount((shingles >> np.uint64(24)) % np.uint64(size), minlength=size)
     return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.int64)
@@ -95,41 +98,43 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 _LONGS = ArrayType(LongType())
 
 
-@F.arrow_udf(
-    StructType(
-        [StructField(n, LongType()) for n in ("k1", "k2", "n")]
-        + [StructField("prefix", _LONGS), StructField("sketch", _LONGS)]
+def facts(hot: np.ndarray):
+    """Column function: text -> identity, size, prefix with the hot shingles last, and sketch of its set."""
+
+    @F.arrow_udf(
+        StructType(
+            [StructField(n, LongType()) for n in ("k1", "k2", "n")]
+            + [StructField("prefix", _LONGS), StructField("sketch", _LONGS)]
+        )
     )
-)
-def facts(texts: pa.Array) -> pa.Array:
-    """Identity, size, prefix by hash alone, and sketch of the sets of texts."""
-    none = np.empty(0, np.uint64)
-    keys, sizes, prefixes, sketches = [], [], [], []
-    for text in texts:
-        s = shingle_set(text.as_py())
-        keys.append(xxhash.xxh3_128_digest(s.tobytes()))
-        sizes.append(len(s))
-        prefixes.append(prefix_of(s, none))
-        sketches.append(sketch_of(s))
-    halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-    columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int64())]
-    columns += [_lists(prefixes), _lists(sketches)]
-    return pa.StructArray.from_arrays(columns, ["k1", "k2", "n", "prefix", "sketch"])
+    def of(texts: pa.Array) -> pa.Array:
+        keys, sizes, prefixes, sketches = [], [], [], []
+        for text in texts:
+            s = shingle_set(text.as_py())
+            keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+            sizes.append(len(s))
+            prefixes.append(prefix_of(s, hot))
+            sketches.append(sketch_of(s))
+        halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        columns = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int64())]
+        columns += [_lists(prefixes), _lists(sketches)]
+        return pa.StructArray.from_arrays(columns, ["k1", "k2", "n", "prefix", "sketch"])
+
+    return of
 
 
 @F.arrow_udf(_LONGS)
-def shingles(texts: pa.Array) -> pa.Array:
-    return _lists([shingle_set(t.as_py()) for t in texts])
-
+def hash_prefix(texts: pa.Array) -> pa.Array:
+    """The prefixes of texts in the order by hash alone."""
+    sets = (shingle_set(t.as_py()) for t in texts)
+    return _lists([s[: prefix_size(len(s))] for s in sets])
 
-def prefixes(hot: np.ndarray):
-    """Column function: text -> prefix with the hot shingles last."""
 
-    @F.arrow_udf(_LONGS)
-    def cut(texts: pa.Array) -> pa.Array:
-        return _lists([prefix_of(shingle_set(t.as_py()), hot) for t in texts])
-
-    return cut
+@F.arrow_udf(StructType([StructField("s", _LONGS), StructField("fine", _LONGS)]))
+def whole_sets(texts: pa.Array) -> pa.Array:
+    sets = [shingle_set(t.as_py()) for t in texts]
+    columns = [_lists(sets), _lists([sketch_of(s, FINE) for s in sets])]
+    return pa.StructArray.from_arrays(columns, ["s", "fine"])
 
 
 def _level(id_: Column, least: Column, among: Column) -> Column:
@@ -146,14 +151,12 @@ def _may_link(na: Column, i: Column, nb: Column, j: Column) -> Column:
     )
 
 
-def _texts(
-    ws: Workspace, marked: DataFrame, place: str, text: str, sets: DataFrame, name: str, columns=("node",)
-) -> DataFrame:
-    """The rows of the documents that stand for the sets, with ``columns`` of those.
+def _texts(ws: Workspace, marked: DataFrame, place: str, text: str, sets: DataFrame, name: str) -> DataFrame:
+    """(place, text, node) of the documents that stand for the sets.
 
     What is looked up is broadcast while it is small as written; else both sides are shuffled.
     """
-    wanted = _small(ws, sets.select(*columns, F.col("place").alias(place)), name)
+    wanted = _small(ws, sets.select("node", F.col("place").alias(place)), name)
     return marked.select(place, F.col(text).alias("text")).join(wanted, place)
 
 
@@ -162,6 +165,24 @@ def _near(differ: Column, na: Column, nb: Column) -> Column:
     return F.lit(ABOVE + BELOW) * differ <= F.lit(BELOW - ABOVE) * (na + nb)
 
 
+def _halved(sketch: str, other: str) -> Column:
+    """A sketch, folded to half its length if it is twice as long as another: its parities add up."""
+    half = F.size(other)
+    folded = F.zip_with(F.slice(sketch, 1, half), F.slice(sketch, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(sketch) == 2 * half, folded).otherwise(F.col(sketch))
+
+
+def _differ(a: Column | str, b: Column | str) -> Column:
+    """In how many bits two sketches differ.
+
+    Sketches of different lengths are of sizes on both sides of a power of two: those pairs go on.
+    """
+    differ = F.aggregate(
+        F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, v: total + v
+    )
+    return F.when(F.size(a) == F.size(b), differ).otherwise(F.lit(0))
+
+
 def _folded(sketch: str) -> Column:
     """A sketch as long as the shortest: cells that fall together add up, so do their parities."""
     words = SKETCH // 64
@@ -179,7 +200,11 @@ def _bits(a: str, b: str) -> Column:
 
 def _small(ws: Workspace, df: DataFrame, name: str) -> DataFrame:
     """``df`` written, to be broadcast if it is small."""
-    df = ws.write(df, name)
+    return _sent(ws, ws.write(df, name), name)
+
+
+def _sent(ws: Workspace, df: DataFrame, name: str) -> DataFrame:
+    """``df``, which was written as ``name``, to be broadcast if it is small."""
     return F.broadcast(df) if ws.bytes(name) <= BROADCAST_BYTES else df
 
 
@@ -191,28 +216,17 @@ def _folds(members: DataFrame) -> DataFrame:
     return least.join(radius, "g", "left").select("g", "fold", F.coalesce("radius", F.lit(0)).alias("radius"))
 
 
-def _hot_first_run(ws: Workspace, sets: DataFrame, marked: DataFrame, place: str, text: str) -> DataFrame:
-    """``sets`` with prefixes in the order that puts hot shingles last."""
-    counts = sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("b"))
+def _hot_shingles(ws: Workspace, docs: DataFrame, text: str) -> np.ndarray:
+    """The shingles that come last in prefixes, sorted: at most HOT_LIST of those in more than HOT_SETS prefixes.
+
+    Equal texts count each: which shingles are hot is a matter of cost alone.
+    """
+    tokens = docs.select(F.explode(hash_prefix(F.col(text))).alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("b"))
     common, seen = ws.measured(counts.where(F.col("b") > HOT_SETS), "common", most=F.sum("b"))
-    if not seen["rows"]:
-        return sets
     # More than 1 / HOT_LIST of all common places: at most HOT_LIST shingles are.
-    hot = common.where(F.col("b") * F.lit(HOT_LIST) > F.lit(seen["most"]))
-    found = np.sort(np.array([r["token"] for r in hot.select("token").collect()], np.int64).view(np.uint64))
-    if not len(found):
-        return sets
-    touched = (
-        sets.select("node", F.explode("prefix").alias("token"))
-        .join(F.broadcast(hot), "token", "left_semi")
-        .select("node")
-        .distinct()
-    )
-    touched = ws.write(touched, "with_hot")
-    facts_ = ["node", "n", "sketch"]
-    texts = _texts(ws, marked, place, text, sets.join(touched, "node", "left_semi"), "touched", facts_)
-    again = ws.write(texts.select(*facts_, prefixes(found)(F.col("text")).alias("prefix")), "reordered")
-    return sets.join(touched, "node", "left_anti").select(*again.columns).union(again)
+    hot = common.where(F.col("b") * F.lit(HOT_LIST) > F.lit(seen["most"])) if seen["rows"] else common.limit(0)
+    return np.sort(np.array([r["token"] for r in hot.select("token").collect()], np.int64).view(np.uint64))
 
 
 def _groups(ws: Workspace, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -263,8 +277,7 @@ def _group_pairs(entries: DataFrame, width: int) -> DataFrame:
         "token", F.col("g").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("kind").alias("kind_a"),
         F.col("fold").alias("fold_a"), F.col("radius").alias("radius_a"), level.alias("level"),
     ).where(F.col("level") <= width)
-    far = F.struct("n", "fold", "radius", "kind").cast(FAR).alias("far")
-    others = entries.select("token", F.col("g").alias("b"), "n", "pos", "kind", "fold", "radius", far)
+    others = entries.select("token", F.col("g").alias("b"), "n", "pos", "kind", "fold", "radius")
     # Members are no nearer to each other than their least ones less what they differ from those.
     apart = F.coalesce(_bits("fold", "fold_a"), F.lit(0)) - F.col("radius") - F.col("radius_a")
     near = _near(apart, F.col("na"), F.col("n"))
@@ -272,7 +285,8 @@ def _group_pairs(entries: DataFrame, width: int) -> DataFrame:
     met = met.where(near).where(
         _may_link(F.col("na"), F.col("i"), F.col("n"), F.col("pos"))
     )
-    return met.groupBy("a", "b").agg(F.min("level").alias("level"), F.first("far").alias("far"))
+    far = F.struct("n", "fold", "radius", "kind").cast(FAR)
+    return met.groupBy("a", "b").agg(F.min("level").alias("level"), F.first(far).alias("far"))
 
 
 def _member_pairs(pairs: DataFrame, members: DataFrame, width: int, before: int) -> DataFrame:
@@ -286,11 +300,6 @@ def _member_pairs(pairs: DataFrame, members: DataFrame, width: int, before: int)
         F.col("g").alias("b"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"),
         F.col("root").alias("ry"),
     )
-    # Sketches of different lengths are of sizes on both sides of a power of two: those pairs go on.
-    differ = F.aggregate(
-        F.zip_with("sx", "sy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v
-    )
-    differ = F.when(F.size("sx") == F.size("sy"), differ).otherwise(F.lit(0))
     new = F.greatest("level", "inner") > F.lit(before)
     # A member goes on to a group unless it is too far from all of it, or of its class.
     apart = _bits("far.fold", "fx") - F.col("far.radius")
@@ -301,22 +310,34 @@ def _member_pairs(pairs: DataFrame, members: DataFrame, width: int, before: int)
         .where(new & able)
         .join(theirs, "b")
         .where("rx <> ry")
-        .where(_near(differ, F.col("nx"), F.col("ny")))
+        .where(_near(_differ("sx", "sy"), F.col("nx"), F.col("ny")))
         .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         .distinct()
     )
 
 
+def _ends(pairs: DataFrame, whole: DataFrame, *columns: str) -> DataFrame:
+    """The pairs with columns of both their sets; only what the pairs name is sent."""
+    end = lambda e: whole.select(F.col("node").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in columns])
+    named = end("x").join(pairs.select("x"), "x", "left_semi")
+    return pairs.join(end("y"), "y").join(named, "x")
+
+
 def _verified(ws: Workspace, pairs: DataFrame, sets: DataFrame, marked: DataFrame, place: str, text: str, number: int) -> DataFrame:
-    """The pairs that are links, by their whole sets."""
+    """The pairs that are links, by their whole sets; those that fine sketches tell apart are left out first."""
     wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-    texts = _texts(ws, marked, place, text, sets.join(wanted, "node", "left_semi"), f"wanted{number}")
-    whole = ws.write(texts.select("node", shingles(F.col("text")).alias("s")), f"whole{number}")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    united = F.size("sx") + F.size("sy") - shared
+    named = sets.join(wanted, "node", "left_semi")
+    texts = _texts(ws, marked, place, text, named, f"wanted{number}")
+    whole = texts.select("node", whole_sets(F.col("text")).alias("t")).select("node", F.size("t.s").alias("n"), "t.*")
+    whole = ws.write(whole, f"whole{number}")
+    near = _ends(_sent(ws, pairs, f"pairs{number}"), whole, "n", "fine")
+    differ = _differ(_halved("fine_x", "fine_y"), _halved("fine_y", "fine_x"))
+    near = near.where(_near(differ, F.col("n_x"), F.col("n_y"))).select("x", "y")
+    near = _small(ws, near, f"near{number}")
+    shared = F.size(F.array_intersect("s_x", "s_y"))
+    united = F.size("s_x") + F.size("s_y") - shared
     return (
-        pairs.join(whole.select(F.col("node").alias("y"), F.col("s").alias("sy")), "y")
-        .join(whole.select(F.col("node").alias("x"), F.col("s").alias("sx")), "x")
+        _ends(near, whole, "s")
         .where(F.lit(BELOW) * shared >= F.lit(ABOVE) * united)
         .select(F.col("x").alias("a"), F.col("y").alias("b"))
     )
@@ -366,8 +387,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scan: b
     spark = docs.sparkSession
     with Workspace(spark, "jaccard") as ws:
         marked, place = identified(ws, docs, scan)
+        of_text = facts(_hot_shingles(ws, marked, text))(F.col(text))
         made = ws.write(
-            marked.select(F.col(doc_id).alias("id"), F.col(place).alias("place"), facts(F.col(text)).alias("t")).select(
+            marked.select(F.col(doc_id).alias("id"), F.col(place).alias("place"), of_text.alias("t")).select(
                 "id", "place", "t.*"
             ),
             "made",
@@ -384,8 +406,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scan: b
             "sets",
         )
         ws.drop("made")
-        ordered = _hot_first_run(ws, sets, marked, place, text)
-        groups, members = _groups(ws, ordered)
+        groups, members = _groups(ws, sets)
         folds = _small(ws, _folds(members), "folds")
         entries = _entries(ws, groups)
         for stage in ("tokens", "several", "pivots"):

@@ -146,3 +146,53 @@ def test_members_too_far_from_a_group_do_not_go_on_to_it(spark):
     assert met(0, 1) == set()
     unknown = spark.createDataFrame([(1, 3, 1.0, None)], f"a bigint, b bigint, level double, far {jj.FAR}")
     assert {tuple(r) for r in jj._member_pairs(unknown, members, 16, 0).collect()} == both
+
+
+def test_what_fine_sketches_tell_apart_is_not_sent_whole(spark, monkeypatch):
+    """Long texts somewhat below the threshold pass the coarse sketches, not the fine ones, whatever their lengths."""
+    rng = random.Random(9)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    docs = []
+    for start in (2000, 2044):
+        base = [word() for _ in range(start)]
+        # Each keeps 0.96 of the shingles of a base, so two of them share some 0.85.
+        for i in range(6):
+            own = list(base)
+            for at in rng.sample(range(0, start - 2, 3), start // 72):
+                own[at] = word()
+            docs.append((len(docs), " ".join(own + [word() for _ in range(2 * i)])))
+    docs += [(len(docs), " ".join(base[::-1])), (len(docs) + 1, " ".join(base[::-1][:-9]))]
+    found = {}
+    write = jj.Workspace.write
+
+    def watch(self, df, name, split=None):
+        out = write(self, df, name, split)
+        if name.startswith(("pairs", "near")):
+            found[name] = out.select("x", "y").collect()
+        return out
+
+    monkeypatch.setattr(jj.Workspace, "write", watch)
+    got = jj.classes(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_classes(docs)
+    looked = {tuple(p) for n, rows in found.items() if n.startswith("pairs") for p in rows}
+    sent = {tuple(p) for n, rows in found.items() if n.startswith("near") for p in rows}
+    sets = [plain_set(t) for _, t in docs]
+    links = sum(10 * len(a & b) >= 9 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert links == 1 and 0 < len(sent) <= links + 2 and len(looked) > 2 * len(sent)
+
+
+def test_small_tables_are_shuffled_with_the_same_result(spark, rows, monkeypatch):
+    monkeypatch.setattr(jj, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(jj, "HOT_SETS", 4)
+    got = jj.classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_classes(rows)
+
+
+def test_halved_sketches_are_those_of_half_the_cells(spark):
+    rng = random.Random(2)
+    s = jj.np.unique(jj.np.array([rng.getrandbits(64) for _ in range(1500)], jj.np.uint64))
+    long, short = (jj.sketch_of(s, c).tolist() for c in (4, 2))
+    assert len(long) == 2 * len(short)
+    df = spark.createDataFrame([(long, short)], "a array<bigint>, b array<bigint>")
+    row = df.select(jj._halved("a", "b").alias("a"), jj._halved("b", "a").alias("b")).first()
+    assert row.a == short and row.b == short
