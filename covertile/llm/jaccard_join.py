@@ -221,9 +221,11 @@ def _hot_shingles(ws: Workspace, docs: DataFrame, text: str) -> np.ndarray:
 
     Equal texts count each: which shingles are hot is a matter of cost alone.
     """
-    tokens = docs.select(F.explode(hash_prefix(F.col(text))).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("b"))
+    # Written first: Python and the counting of shingles would need their memory in the same tasks.
+    firsts = ws.write(docs.select(hash_prefix(F.col(text)).alias("prefix")), "firsts")
+    counts = firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("b"))
     common, seen = ws.measured(counts.where(F.col("b") > HOT_SETS), "common", most=F.sum("b"))
+    ws.drop("firsts")
     # More than 1 / HOT_LIST of all common places: at most HOT_LIST shingles are.
     hot = common.where(F.col("b") * F.lit(HOT_LIST) > F.lit(seen["most"])) if seen["rows"] else common.limit(0)
     return np.sort(np.array([r["token"] for r in hot.select("token").collect()], np.int64).view(np.uint64))
