@@ -42,6 +42,10 @@ SHINGLE = 4
 SEED = 42
 SEGMENT = 23
 CHUNK = 1 << 16
+# Crowded fingerprints a task makes words of; each gives some 1,300 of them.
+TASK_CROWD = 4096
+# Above this many stars the words are joined to them by shuffle instead of broadcast.
+BROADCAST_STARS = 100_000
 
 
 # -- fingerprints -------------------------------------------------------------------------------
@@ -267,10 +271,15 @@ def links(ws: Workspace, fps: DataFrame, exact_blocks: int, bucket: int) -> Data
     )
     # The two halves of a choice of blocks leave the same bits open: one of them will do.
     crowded = crowded.select("fp", (F.col("choice") - F.col("choice") % 2).alias("choice")).distinct()
-    met = ws.write(crowded, "crowded").mapInArrow(midpoints(exact_blocks), "fp bigint, word bigint")
+    crowded, seen = ws.measured(crowded, "crowded")
+    # The planner takes the words of a fingerprint for one row: left to it, a small table would become words in
+    # one task, and be broadcast as such.
+    spread = crowded.repartition(1 + seen["rows"] // TASK_CROWD, "fp")
+    met = spread.mapInArrow(midpoints(exact_blocks), "fp bigint, word bigint")
     stars = met.groupBy("word").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
     # Written first, so that a word in which very many meet is split when they are joined to it.
-    stars = ws.write(stars.select("word", "a"), "stars")
+    stars, seen = ws.measured(stars.select("word", "a"), "stars")
+    stars = F.broadcast(stars) if seen["rows"] <= BROADCAST_STARS else stars.hint("merge")
     # A word links all that meet at it to the smallest; each fingerprint keeps its links once.
     linked = (
         met.join(stars, "word")

@@ -1,6 +1,7 @@
 """SimHash groups against a plain-Python version that compares all pairs."""
 
 import random
+import re
 
 import pytest
 import xxhash
@@ -92,6 +93,43 @@ def test_dense_cloud_of_fingerprints(spark):
         assert len(set(zip(label, want))) == len(set(want)) == len(set(label))
 
 
+@pytest.mark.parametrize("broadcast_stars", [0, 100_000])
+def test_words_of_crowded_fingerprints_are_not_broadcast(spark, monkeypatch, broadcast_stars):
+    """Each crowded fingerprint has some 1,300 words: they are dealt to tasks, however small their source."""
+    from covertile.plans.workspace import Workspace
+
+    rng = random.Random(4)
+    centre = rng.getrandbits(64)
+    fps = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for _ in range(80)}
+    fps = sorted(fps | {rng.getrandbits(64) for _ in range(20)})
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
+    plans = {}
+    write = Workspace.write
+
+    def watched(self, df, name, split=None):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return write(self, df, name, split)
+
+    monkeypatch.setattr(Workspace, "write", watched)
+    monkeypatch.setattr(sh, "TASK_CROWD", 50, raising=False)
+    monkeypatch.setattr(sh, "BROADCAST_STARS", broadcast_stars, raising=False)
+    ws = Workspace(spark, "test")
+    found = sh.links(ws, spark.createDataFrame(signed, "fp bigint").coalesce(1), 1, 20).collect()
+    joined = [line for line in plans["links"].splitlines() if "Join [word" in line]
+    assert len(joined) == 1 and "BuildLeft" not in joined[0]
+    assert ("BroadcastHashJoin" in joined[0]) == bool(broadcast_stars)
+    for name in ("stars", "links"):
+        dealt = re.findall(r"hashpartitioning\(fp#\d+L?, (\d+)\), REPARTITION_BY_NUM", plans[name])
+        assert dealt and int(dealt[0]) > 1
+    label, want = {f: f for f in fps}, plain_groups(list(enumerate(fps)))
+    for a, b in ((r.a % (1 << 64), r.b % (1 << 64)) for r in found):
+        assert (a ^ b).bit_count() <= 4
+        old, new = label[a], label[b]
+        label = {f: new if x == old else x for f, x in label.items()}
+    label = [label[f] for f in fps]
+    assert len(set(zip(label, want))) == len(set(want)) == len(set(label))
+
+
 def test_two_words_near_each_other_share_a_codeword():
     import numpy as np
 
